@@ -1 +1,121 @@
+"""Queries over importances and explanations."""
 
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+import fixtures as fx
+from catalog import tables_sql as q
+from catalog.base import query, rounded
+from catalog.fitting import kept
+from catalog.modelling import FEATURES, newton, vectors
+from holdfast.operators import explain as ex, models as md
+
+_COEF = newton() + """, coef AS (SELECT 'x1' AS feature, b1 AS coefficient FROM beta UNION ALL SELECT 'x2', b2 FROM beta),
+imp AS (SELECT *, abs(coefficient) / sum(abs(coefficient)) OVER () AS importance,
+        CASE WHEN coefficient > 0 THEN 'Increases Churn' ELSE 'Decreases Churn' END AS direction FROM coef)"""
+
+
+def _fitted(spark, sf):
+    with kept(vectors(spark, sf)) as rows:
+        return md.fit_logistic(rows)
+
+
+@query("X01_coefficients", f"""{_COEF}
+SELECT feature, round(coefficient, 6) AS coefficient, round(abs(coefficient), 6) AS abs_coefficient, direction FROM imp""")
+def coefficients(spark, sf):
+    return rounded(ex.coefficients(spark, _fitted(spark, sf), FEATURES), 6, "coefficient", "abs_coefficient")
+
+
+@query("X02_tree_importance")
+def tree_importance(spark, sf):
+    """Importances of a forest on the numeric features and the category indicators."""
+    frame = fx.model_frame(spark, sf)
+    names = [*FEATURES, "c_A", "c_B", "c_C", "c_D"]
+    frame = frame.withColumns({n: (F.col("c") == n[-1]).cast("double") for n in names[2:]})
+    with kept(VectorAssembler(inputCols=names, outputCol="features").transform(frame)) as rows:
+        model = md.fit_forest(rows, trees=20, depth=5)
+    return rounded(ex.tree_importance(spark, model, names), 6, "importance", "cumulative_importance")
+
+
+@query("X03_feature_importance", f"""{_COEF}
+SELECT feature, round(importance, 6) AS importance, round(coefficient, 6) AS coefficient, direction FROM imp""")
+def feature_importance(spark, sf):
+    return rounded(ex.feature_importance(spark, _fitted(spark, sf), FEATURES), 6, "importance", "coefficient")
+
+
+@query("W03_cumulative_importance", f"""{_COEF}
+SELECT feature, round(importance, 6) AS importance,
+       round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING), 6) AS cumulative_importance
+FROM imp""")
+def cumulative_importance(spark, sf):
+    table = ex.importance_table(ex.feature_importance(spark, _fitted(spark, sf), FEATURES))
+    return rounded(table.select("feature", "importance", "cumulative_importance"), 6, "importance", "cumulative_importance")
+
+
+@query("W04_importance_rank", f"""{_COEF}
+SELECT feature, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp""")
+def importance_rank(spark, sf):
+    table = ex.importance_table(ex.feature_importance(spark, _fitted(spark, sf), FEATURES))
+    return table.select("feature", "rank")
+
+
+@query("X06_importance_listing", f"""{_COEF}
+SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, '[NUM] ' || feature AS name,
+       printf('%.1f%%', importance * 100e0) AS share, round(sum(importance) OVER (), 6) AS explained FROM imp""")
+def importance_listing(spark, sf):
+    table = ex.feature_importance(spark, _fitted(spark, sf), [f"numeric__{n}" for n in FEATURES])
+    return rounded(ex.importance_listing(table).drop("importance"), 6, "explained")
+
+
+# A given linear model over three columns; weights that doubles hold exactly, so both engines
+# get the same products.
+_NAMES = ("numeric__x1", "numeric__x2", "binary__y")
+_WEIGHTS = (0.5, -1.25, 0.75)
+
+
+def _explained(spark, sf, top_n):
+    frame = fx.model_frame(spark, sf).withColumn("y_prob", fx.score_column())
+    values = F.array("x1", "x2", F.col("y_true").cast("double"))
+    top = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(abs(w) / 2.5).alias("importance"))
+                    for n, w in zip(_NAMES, _WEIGHTS)])
+    return ex.explain_rows(frame, ["id"], "y_prob", top, ex.top_contributions(values, _NAMES, _WEIGHTS, top_n))
+
+
+_SCORED_FRAME = f"SELECT m.*, s.y_prob FROM ({q.MODEL_FRAME}) m JOIN ({q.SCORED}) s USING (id)"
+_CONTRIBUTIONS = f"""
+SELECT id, y_prob, feature, contribution, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature) AS r
+FROM (SELECT id, y_prob, unnest(['numeric__x1', 'numeric__x2', 'binary__y']) AS feature,
+             unnest([x1 * 0.5e0, x2 * -1.25e0, CAST(y_true AS DOUBLE) * 0.75e0]) AS contribution FROM ({_SCORED_FRAME}))"""
+
+
+@query("X04_explain_rows", f"""
+SELECT id, CAST(r AS INTEGER) AS rank, feature, contribution, y_prob AS churn_probability,
+       CASE WHEN y_prob >= 0.5 THEN 'Will Churn' ELSE 'Will Stay' END AS prediction,
+       greatest(y_prob, 1 - y_prob) AS confidence,
+       CASE WHEN y_prob >= 0.7 THEN 'High Risk' WHEN y_prob >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_level,
+       CAST(3 AS INTEGER) AS n_top_features
+FROM ({_CONTRIBUTIONS}) WHERE r <= 2""")
+def explain_rows(spark, sf):
+    rows = _explained(spark, sf, 2)
+    long = rows.select("*", F.posexplode("top_contributors").alias("i", "c"))
+    return long.select("id", (F.col("i") + 1).alias("rank"), "c.*", "churn_probability", "prediction",
+                       "confidence", "risk_level", F.size("top_features").alias("n_top_features"))
+
+
+@query("X05_explanation_text", f"""
+SELECT id, concat_ws(chr(10), 'Prediction: ' || CASE WHEN y_prob >= 0.5 THEN 'Will Churn' ELSE 'Will Stay' END,
+  'Churn probability: ' || printf('%.1f%%', y_prob * 100e0), 'Risk level: ' || risk,
+  'Confidence: ' || printf('%.1f%%', greatest(y_prob, 1 - y_prob) * 100e0), 'Main factors:', factors,
+  'At ' || printf('%.0f%%', y_prob * 100e0) || ', about ' || CAST(CAST(floor(y_prob * 100e0) AS BIGINT) AS VARCHAR)
+        || ' of 100 such customers would churn.',
+  'Recommended action: ' || CASE risk WHEN 'High Risk' THEN 'Put first in the retention campaign.'
+     WHEN 'Medium Risk' THEN 'Watch closely and consider reaching out.' ELSE 'Standard service is enough.' END) AS explanation
+FROM (SELECT id, y_prob,
+        CASE WHEN y_prob >= 0.7 THEN 'High Risk' WHEN y_prob >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk,
+        string_agg(CAST(r AS VARCHAR) || '. ' || regexp_replace(feature, '^(numeric|binary)__', '') ||
+          CASE WHEN contribution > 0 THEN ': raises churn risk' ELSE ': lowers churn risk' END, chr(10) ORDER BY r) AS factors
+      FROM ({_CONTRIBUTIONS}) GROUP BY id, y_prob)""")
+def explanation_text(spark, sf):
+    return ex.explanation_text(_explained(spark, sf, 5), ["id"])

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SCORE = "cast(350 * y_true + (id * 7919 % 10007) * 650 div 10007 as double) / 1000D"
 
 
+def score_column():
+    """The score as an expression over id and y_true."""
+    return F.expr(_SCORE)
+
+
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: id, y_true, y_prob, and model, segment, customer to group by."""
     orders = table(spark, sf_dir, "orders")
@@ -25,7 +30,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("model"),
         F.col("o_orderpriority").alias("segment"),
         F.col("o_custkey").alias("customer"),
-    ).withColumn("y_prob", F.expr(_SCORE))
+    ).withColumn("y_prob", score_column())
 
 
 def split_orders(spark: SparkSession, sf_dir: str, **ratios) -> DataFrame:
@@ -95,4 +100,4 @@ def scored_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts with a true label and a score made by the rule of the scored orders."""
     df = accounts(spark, sf_dir).withColumn("y_true", (F.col("Churn") == "Yes").cast("int"))
     df = df.withColumn("id", F.substring("customerID", 2, 8).cast("long"))
-    return df.withColumn("y_prob", F.expr(_SCORE))
+    return df.withColumn("y_prob", score_column())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -111,24 +112,36 @@ def bin_label(low: Column, high: Column) -> Column:
     return F.concat(fixed(low, 1), F.lit(" - "), fixed(high, 1))
 
 
-def bucket_index(c: Column | str, edges: Sequence[float], right_closed: bool = False) -> Column:
+def bucket_index(col: str, edges: Sequence[float], right_closed: bool = False) -> Column:
     """How many of the ascending ``edges`` lie at or below the value.
 
     ``right_closed`` counts only edges strictly below it. A balanced CASE tree, so a sweep over
     80 thresholds costs seven comparisons a row inside generated code. Null stays null.
     """
-    value = _col(c)
     edges = [float(e) for e in edges]
     if edges != sorted(edges):
         raise ValueError("edges must ascend")
+    name, op = quoted(col), ">" if right_closed else ">="
 
-    def reaches(edge: float) -> Column:
-        return value > F.lit(edge) if right_closed else value >= F.lit(edge)
-
-    def build(lo: int, hi: int) -> Column:
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(reaches(edges[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
+        return f"case when {name} {op} {double(edges[mid])} then {build(mid + 1, hi)} else {build(lo, mid)} end"
+
+    return F.expr(f"case when {name} is not null then {build(0, len(edges))} end")
+
+
+def quoted(name: str) -> str:
+    """Column name for a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def double(value: float) -> str:
+    """Exact double literal for a SQL expression."""
+    return f"{float(value)!r}D" if math.isfinite(value) else f"double('{value}')"
+
 
-    return F.when(value.isNotNull(), build(0, len(edges)))
+def text(value: str) -> str:
+    """String literal for a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -238,12 +238,12 @@ def calibration_curve(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Per filled bin the positive share and the mean score; bins hold their upper edge."""
-    scored = scored_frame(df, y_true, y_prob, by)
     prob = F.col("y_prob")
     inside = F.when(prob.between(0, 1), prob).otherwise(
         F.raise_error(F.lit("scores must lie in [0, 1]"))
     )
-    index = fn.bucket_index(inside, _bin_edges(n_bins)[1:-1], right_closed=True)
+    scored = scored_frame(df, y_true, y_prob, by).withColumn("y_prob", inside)
+    index = fn.bucket_index("y_prob", _bin_edges(n_bins)[1:-1], right_closed=True)
     return scored.groupBy(*by, index.alias("bin_index")).agg(
         F.avg("y_true").alias("positive_share"), F.avg("y_prob").alias("mean_score"),
         F.count(F.lit(1)).alias("count"),

@@ -136,14 +136,6 @@ def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFr
     return table.select(group.alias("feature_group"), "feature", "p.*")
 
 
-def _quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass(frozen=True)
 class FittedPreprocessor:
     """Params as plain values. Columns without any training value are left out."""
@@ -187,27 +179,37 @@ class FittedPreprocessor:
         ]
         return names
 
-    def _scaled(self, col: str) -> Column:
-        median, mean, std = self.numeric[col]
-        value = F.coalesce(F.nanvl(F.col(col).cast("double"), F.lit(None)), F.lit(median))
-        return (value - F.lit(mean)) / F.lit(std)
+    def _scaled(self, col: str) -> str:
+        median, mean, std = (fn.double(x) for x in self.numeric[col])
+        value = f"coalesce(nanvl(cast({fn.quoted(col)} as double), null), {median})"
+        return f"({value} - ({mean})) / {std}"
 
-    def _filled(self, col: str) -> Column:
-        return F.coalesce(F.col(col).cast("string"), F.lit(self.mode[col]))
+    def _filled(self, col: str) -> str:
+        return f"coalesce(cast({fn.quoted(col)} as string), {fn.text(self.mode[col])})"
+
+    def _flag(self, col: str) -> str:
+        trues = ", ".join(fn.text(t) for t in fn.TRUE_TEXTS)
+        value = f"lower(btrim({self._filled(col)}, {fn.text(fn.WHITESPACE)}))"
+        return f"cast({value} in ({trues}) as double)"
+
+    def _slot(self, col: str, value: str) -> str:
+        return f"cast({self._filled(col)} = {fn.text(value)} as double)"
+
+    def _dense(self) -> list[tuple[str, str]]:
+        """(name, SQL) of the numeric and two-valued features."""
+        spec = self.spec
+        return [
+            (f"{spec.numeric_prefix}__{c}", self._scaled(c)) for c in spec.numeric if c in self.numeric
+        ] + [(f"{spec.binary_prefix}__{c}", self._flag(c)) for c in spec.binary if c in self.mode]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """One double column per feature name; unseen categories are zero in every slot."""
-        spec, out = self.spec, []
-        out += [self._scaled(c).alias(f"{spec.numeric_prefix}__{c}") for c in spec.numeric if c in self.numeric]
-        out += [
-            fn.binary_flag(self._filled(c)).alias(f"{spec.binary_prefix}__{c}")
-            for c in spec.binary if c in self.mode
+        prefix = self.spec.categorical_prefix
+        out = self._dense() + [
+            (f"{prefix}__{c}_{v}", self._slot(c, v))
+            for c in self.spec.categorical for v in self.kept_levels(c)
         ]
-        for c in spec.categorical:
-            for v in self.kept_levels(c):
-                slot = F.when(self._filled(c) == v, 1.0).otherwise(0.0)
-                out.append(slot.alias(f"{spec.categorical_prefix}__{c}_{v}"))
-        return df.select(*keep, *out)
+        return df.selectExpr(*[fn.quoted(c) for c in keep], *[f"{e} as {fn.quoted(n)}" for n, e in out])
 
     def stages(self, df: DataFrame, features: str = "features") -> list[Transformer]:
         """Built-in ML stages that append the vector ``features``.
@@ -215,34 +217,18 @@ class FittedPreprocessor:
         Long category lists become a hash lookup and a sparse block instead of a chain of
         comparisons. ``df`` gives the schema only.
         """
-        spec, exprs, inputs, indexed = self.spec, [], [], []
-        for c in spec.numeric:
-            if c not in self.numeric:
-                continue
-            median, mean, std = (f"{x!r}D" for x in self.numeric[c])
-            name = f"{spec.numeric_prefix}__{c}"
-            value = f"coalesce(nanvl(cast({_quote(c)} as double), null), {median})"
-            exprs.append(f"({value} - ({mean})) / {std} as {_quote(name)}")
-            inputs.append(name)
-        trues = ", ".join(_text(t) for t in fn.TRUE_TEXTS)
-        for c in spec.binary:
-            if c not in self.mode:
-                continue
-            name = f"{spec.binary_prefix}__{c}"
-            value = f"coalesce(cast({_quote(c)} as string), {_text(self.mode[c])})"
-            value = f"lower(btrim({value}, {_text(fn.WHITESPACE)}))"
-            exprs.append(f"cast({value} in ({trues}) as double) as {_quote(name)}")
-            inputs.append(name)
+        spec, dense, indexed = self.spec, self._dense(), []
+        exprs = [f"{e} as {fn.quoted(n)}" for n, e in dense]
+        inputs = [n for n, _ in dense]
         for c in spec.categorical:
             kept = self.kept_levels(c)
             if not kept:
                 continue
             name = f"{spec.categorical_prefix}__{c}"
-            value = f"coalesce(cast({_quote(c)} as string), {_text(self.mode[c])})"
-            if len(kept) == 1 and len(self.levels[c]) == 2:
-                exprs.append(f"cast({value} = {_text(kept[0])} as double) as {_quote(name)}")
+            if len(kept) < len(self.levels[c]):
+                exprs.append(f"{self._slot(c, kept[0])} as {fn.quoted(name)}")
             else:
-                exprs.append(f"{value} as {_quote('text__' + name)}")
+                exprs.append(f"{self._filled(c)} as {fn.quoted('text__' + name)}")
                 indexed.append((name, kept))
             inputs.append(name)
         stages: list[Transformer] = [

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows one bucket should hold; a table below it needs no cut at all.
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
+#: Up to this many rows a median is found by ranking all of them.
+RANK_DIRECTLY = 50_000
 #: Rank error of the quantile sketch is 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 
@@ -144,17 +146,17 @@ def exact_medians(values: DataFrame, sketch: Row | None = None) -> DataFrame:
     """(feature, median) of every double column, the two middle values averaged.
 
     A sketch gives a narrow bracket around each middle, one aggregate counts what lies below it,
-    and only the rows inside the bracket (well under 1 % of them) are shuffled and ranked. A
-    table that fits one bucket is ranked as it is. Columns without values have no row.
+    and only the values inside the bracket (well under 1 % of the rows, equal ones merged) are
+    shuffled and ranked. A small table is ranked as it is. Columns without values have no row.
     """
     spark, cols = values.sparkSession, values.columns
     sketch = sketch or sketch_middle(values)
     counts = {c: sketch[f"n_{c}"] for c in cols if sketch[f"n_{c}"]}
     if not counts:
         return spark.createDataFrame([], "feature string, median double")
-    small = max(counts.values()) <= ROWS_PER_BUCKET
-    below = {c: 0 for c in counts}
-    if not small:
+    direct = max(counts.values()) <= RANK_DIRECTLY
+    small, below = direct, {c: 0 for c in counts}
+    if not direct:
         brackets = {c: tuple(sketch[f"q_{c}"]) for c in counts}
         found = values.agg(
             *[F.count_if(F.col(c) < lo).alias(f"b_{c}") for c, (lo, _) in brackets.items()],
