@@ -15,7 +15,7 @@ from catalog.base import query, rounded
 from holdfast.functions import scalars as fn
 from holdfast.operators import preprocess as pp
 from holdfast.operators.clean import prepare
-from holdfast.operators.split import stratified_split
+from holdfast.operators.split import fit_splits
 from holdfast.session import new_folder
 from holdfast.sources import artifacts as art
 from holdfast.spec import BASELINE, BINARY, CATEGORICAL, CATEGORICAL_ALL, GROUPED, NUMERIC, FeatureSpec
@@ -27,10 +27,6 @@ def prepared(spark, sf, mode="impute", spec=BASELINE) -> DataFrame:
     return prepare(fx.accounts(spark, sf), spec, mode)
 
 
-def split_accounts(spark, sf, spec=BASELINE) -> DataFrame:
-    return stratified_split(prepared(spark, sf, spec=spec), "label", ID, 0.70, 0.15, 0.15)
-
-
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Fitting reads its rows several times."""
@@ -41,6 +37,13 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def split_accounts(spark, sf, spec=BASELINE) -> DataFrame:
+    rows = prepared(spark, sf, spec=spec)
+    with kept(rows.select(ID, "label")) as keys:
+        cuts = fit_splits(keys, "label", ID, 0.70, 0.15, 0.15)
+    return cuts.assign(rows)
+
+
 def fitted(spark, sf, spec) -> tuple[pp.FittedPreprocessor, DataFrame]:
     """Preprocessor learned from the training rows, and all rows."""
     rows = split_accounts(spark, sf, spec)

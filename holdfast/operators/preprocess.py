@@ -26,6 +26,8 @@ PARAM_LIST = "array<struct<param:string,position:int,number:double,text:string>>
 EPS = 2.220446049250313e-16
 #: Indicator slots of one column. Every slot is a number in each row's vector.
 MAX_CATEGORIES = 100_000
+#: Up to this many slots of a column are plain comparisons; more go through an index lookup.
+PLAIN_SLOTS = 32
 
 
 def numeric_params(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
@@ -214,8 +216,8 @@ class FittedPreprocessor:
     def stages(self, df: DataFrame, features: str = "features") -> list[Transformer]:
         """Built-in ML stages that append the vector ``features``.
 
-        Long category lists become a hash lookup and a sparse block instead of a chain of
-        comparisons. ``df`` gives the schema only.
+        Short category lists become comparisons in generated code, long ones a hash lookup and a
+        sparse block. ``df`` gives the schema only.
         """
         spec, dense, indexed = self.spec, self._dense(), []
         exprs = [f"{e} as {fn.quoted(n)}" for n, e in dense]
@@ -225,12 +227,13 @@ class FittedPreprocessor:
             if not kept:
                 continue
             name = f"{spec.categorical_prefix}__{c}"
-            if len(kept) < len(self.levels[c]):
-                exprs.append(f"{self._slot(c, kept[0])} as {fn.quoted(name)}")
+            if len(kept) <= PLAIN_SLOTS:
+                exprs += [f"{self._slot(c, v)} as {fn.quoted(f'{name}_{v}')}" for v in kept]
+                inputs += [f"{name}_{v}" for v in kept]
             else:
                 exprs.append(f"{self._filled(c)} as {fn.quoted('text__' + name)}")
                 indexed.append((name, kept))
-            inputs.append(name)
+                inputs.append(name)
         stages: list[Transformer] = [
             SQLTransformer(statement=f"select *, {', '.join(exprs)} from __THIS__")
         ]
