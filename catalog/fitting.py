@@ -67,7 +67,7 @@ def median(spark, sf):
 
 @query("F02_mode", q.modes(q.PREPARED, q.ALL_TEXT))
 def mode(spark, sf):
-    return pp.modes(prepared(spark, sf), CATEGORICAL_ALL)
+    return pp.modes(prepared(spark, sf), CATEGORICAL_ALL).drop("unmapped_count")
 
 
 @query("F03_scaling_statistics", f"""

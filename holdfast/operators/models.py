@@ -45,14 +45,17 @@ def _class_counts(df: DataFrame, label: str) -> tuple[int, int]:
     return negative, positive
 
 
-def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """The table with the weight of each row's class: two numbers, found once, as literals."""
-    negative, positive = _class_counts(df, label)
+def _balanced(df: DataFrame, label: str, negative: int, positive: int) -> DataFrame:
     rows = negative + positive
     weight = F.when(F.col(label) == 1, rows / (2 * positive)).otherwise(rows / (2 * negative))
     return df.withColumn(WEIGHT, weight)
 
 
+def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """The table with the weight of each row's class: two numbers, found once, as literals."""
+    return _balanced(df, label, *_class_counts(df, label))
+
+
 def logistic_regression(
     total_weight: float, c: float = 1.0, max_iter: int = 1000, features: str = "features",
     label: str = "label", weight: str | None = None,
@@ -104,10 +107,10 @@ def fit_logistic(
     train: DataFrame, balanced: bool = False, label: str = "label", features: str = "features",
     **params,
 ) -> Model:
+    counts = _class_counts(train, label)
     if balanced:
-        train = with_balanced_weights(train, label)
-    # Balanced weights sum to the number of rows.
-    total = float(sum(_class_counts(train, label)))
+        train = _balanced(train, label, *counts)
+    total = float(sum(counts))  # balanced weights sum to the number of rows
     return logistic_regression(
         total, label=label, features=features, weight=WEIGHT if balanced else None, **params
     ).fit(train)

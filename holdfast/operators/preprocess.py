@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +23,6 @@ from holdfast.functions import scalars as fn
 from holdfast.operators.ranking import ACCURACY, exact_medians, sketch_middle
 from holdfast.spec import FeatureSpec
 
-PARAM_LIST = "array<struct<param:string,position:int,number:double,text:string>>"
 EPS = 2.220446049250313e-16
 #: Indicator slots of one column. Every slot is a number in each row's vector.
 MAX_CATEGORIES = 100_000
@@ -80,40 +80,43 @@ def _value_order(df: DataFrame, cols: Sequence[str]) -> Column:
     return F.when(F.col("feature").isin(*numbers), F.col("value").try_cast("double"))
 
 
-def text_params(df: DataFrame, cols: Sequence[str], listed: Sequence[str] = ()) -> DataFrame:
-    """feature, mode, n, unmapped_count, and for ``listed`` columns the sorted values.
+def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """feature, mode, n, unmapped_count: the most frequent value, the smallest one on ties, and
+    how many rows hold a text that two-valued encoding does not know."""
+    return _modes(_ordered_counts(df, cols))
 
-    The mode is the most frequent value, the smallest one on ties. A value list holds one entry
-    per indicator slot, so the width of the feature vector bounds it, not the number of rows.
-    """
-    counts = category_counts(df, cols).withColumn("o", _value_order(df, cols))
-    entry = F.when(F.col("feature").isin(*listed), F.struct("o", "value"))
+
+def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, position, value): the sorted distinct values of every column."""
+    return _categories(_ordered_counts(df, cols))
+
+
+def _ordered_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return category_counts(df, cols).withColumn("o", _value_order(df, cols))
+
+
+def _modes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(
         F.min(F.struct((-F.col("n")).alias("n"), "o", "value")).alias("best"),
         F.sum(F.when(fn.unmapped_flag("value"), F.col("n")).otherwise(0)).alias("unmapped_count"),
-        F.array_sort(F.collect_list(entry)).alias("vs"),
-    ).select(
-        "feature", F.col("best.value").alias("mode"), (-F.col("best.n")).alias("n"),
-        "unmapped_count", F.col("vs.value").alias("levels"),
-    )
+    ).select("feature", F.col("best.value").alias("mode"), (-F.col("best.n")).alias("n"), "unmapped_count")
 
 
-def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, mode, n) of every column."""
-    return text_params(df, cols).select("feature", "mode", "n")
+def _categories(counts: DataFrame) -> DataFrame:
+    # The filter on the rank lets Spark drop the rest before the shuffle: a column of ids taken
+    # for a category costs one slot more than allowed per task, and reading the params fails.
+    rank = F.row_number().over(W.partitionBy("feature").orderBy("o", "value"))
+    ranked = counts.withColumn("rank", rank).where(F.col("rank") <= MAX_CATEGORIES + 1)
+    return ranked.select("feature", (F.col("rank") - 1).alias("position"), "value")
 
 
-def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, position, value): the sorted distinct values of every column."""
-    return text_params(df, cols, cols).select("feature", F.posexplode("levels").alias("position", "value"))
-
+def _param(param: str, position: str | None = None, number: str | None = None, text: str | None = None) -> Column:
+    def value(name: str | None, default=None) -> Column:
+        return F.lit(default) if name is None else F.col(name)
 
-def _param(param: str | Column, position=0, number=None, text=None) -> Column:
     return F.struct(
-        (F.lit(param) if isinstance(param, str) else param).alias("param"),
-        (F.lit(position) if isinstance(position, int) else position).cast("int").alias("position"),
-        (F.lit(None) if number is None else F.col(number)).cast("double").alias("number"),
-        (F.lit(None) if text is None else text).cast("string").alias("text"),
+        F.lit(param).alias("param"), value(position, 0).cast("int").alias("position"),
+        value(number).cast("double").alias("number"), value(text).cast("string").alias("text"),
     )
 
 
@@ -127,14 +130,16 @@ def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFr
         params = [_param(p, number=p) for p in ("median", "mean", "std", "n_missing")]
         parts.append(stats.select("feature", F.explode(F.array(*params)).alias("p")))
     if spec.binary or spec.categorical:
-        learned = text_params(df, spec.binary + spec.categorical, spec.categorical)
-        base = F.array(_param("mode", number="n", text=F.col("mode")))
-        unmapped = F.when(
-            F.col("feature").isin(*spec.binary), F.array(_param("unmapped_count", number="unmapped_count"))
-        ).otherwise(F.array().cast(PARAM_LIST))
-        slots = F.transform("levels", lambda v, i: _param("category", position=i, text=v))
-        parts.append(learned.select("feature", F.explode(F.concat(base, unmapped, slots)).alias("p")))
-    table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        counts = _ordered_counts(df, spec.binary + spec.categorical)
+        unmapped = F.when(F.col("feature").isin(*spec.binary), _param("unmapped_count", number="unmapped_count"))
+        both = F.array_compact(F.array(_param("mode", number="n", text="mode"), unmapped))
+        parts.append(_modes(counts).select("feature", F.explode(both).alias("p")))
+        if spec.categorical:
+            slots = _categories(counts.where(F.col("feature").isin(*spec.categorical)))
+            parts.append(slots.select("feature", _param("category", position="position", text="value").alias("p")))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
     return table.select(group.alias("feature_group"), "feature", "p.*")
 
 
@@ -150,10 +155,9 @@ class FittedPreprocessor:
     @classmethod
     def from_params(cls, params: DataFrame, spec: FeatureSpec) -> "FittedPreprocessor":
         """Reads the table: three numbers per numeric column, one row per category."""
-        limit = MAX_CATEGORIES * max(1, len(spec.features))
-        got = params.limit(limit + 1).collect()
-        if len(got) > limit:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories per column")
+        got = params.collect()
+        if any(r["position"] >= MAX_CATEGORIES for r in got):
+            raise ValueError(f"a column has more than {MAX_CATEGORIES} categories")
         numbers = {(r["feature"], r["param"]): r["number"] for r in got}
         numeric = {
             c: tuple(numbers[c, p] for p in ("median", "mean", "std"))
