@@ -92,9 +92,7 @@ FROM (SELECT threshold, {q.RATES} FROM ({q.sweep(q.SCORED, m.grid_thresholds())}
 
 @query("G08_best_threshold", " UNION ALL ".join(f"SELECT * FROM ({_best_sql(x)})" for x in ("f1", "recall", "precision")))
 def best_threshold(spark, sf):
-    scored = fx.scored_orders(spark, sf)
-    f1, recall, precision = (m.best_threshold(scored, x) for x in ("f1", "recall", "precision"))
-    return f1.unionByName(recall).unionByName(precision)
+    return m.best_threshold(fx.scored_orders(spark, sf), ("f1", "recall", "precision"))
 
 
 @query("G09_outcome_counts", f"""

@@ -23,9 +23,9 @@ def _fitted(spark, sf):
 
 
 @query("X01_coefficients", f"""{_COEF}
-SELECT feature, round(coefficient, 5) AS coefficient, round(abs(coefficient), 5) AS abs_coefficient, direction FROM imp""")
+SELECT feature, round(coefficient, 4) AS coefficient, round(abs(coefficient), 4) AS abs_coefficient, direction FROM imp""")
 def coefficients(spark, sf):
-    return rounded(ex.coefficients(spark, _fitted(spark, sf), FEATURES), 5, "coefficient", "abs_coefficient")
+    return rounded(ex.coefficients(spark, _fitted(spark, sf), FEATURES), 4, "coefficient", "abs_coefficient")
 
 
 @query("X02_tree_importance")
@@ -40,18 +40,18 @@ def tree_importance(spark, sf):
 
 
 @query("X03_feature_importance", f"""{_COEF}
-SELECT feature, round(importance, 5) AS importance, round(coefficient, 5) AS coefficient, direction FROM imp""")
+SELECT feature, round(importance, 4) AS importance, round(coefficient, 4) AS coefficient, direction FROM imp""")
 def feature_importance(spark, sf):
-    return rounded(ex.feature_importance(spark, _fitted(spark, sf), FEATURES), 5, "importance", "coefficient")
+    return rounded(ex.feature_importance(spark, _fitted(spark, sf), FEATURES), 4, "importance", "coefficient")
 
 
 @query("W03_cumulative_importance", f"""{_COEF}
-SELECT feature, round(importance, 5) AS importance,
-       round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING), 5) AS cumulative_importance
+SELECT feature, round(importance, 4) AS importance,
+       round(sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING), 4) AS cumulative_importance
 FROM imp""")
 def cumulative_importance(spark, sf):
     table = ex.importance_table(ex.feature_importance(spark, _fitted(spark, sf), FEATURES))
-    return rounded(table.select("feature", "importance", "cumulative_importance"), 5, "importance", "cumulative_importance")
+    return rounded(table.select("feature", "importance", "cumulative_importance"), 4, "importance", "cumulative_importance")
 
 
 @query("W04_importance_rank", f"""{_COEF}
@@ -63,10 +63,10 @@ def importance_rank(spark, sf):
 
 @query("X06_importance_listing", f"""{_COEF}
 SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, '[NUM] ' || feature AS name,
-       printf('%.1f%%', importance * 100e0) AS share, round(sum(importance) OVER (), 5) AS explained FROM imp""")
+       printf('%.1f%%', importance * 100e0) AS share, round(sum(importance) OVER (), 4) AS explained FROM imp""")
 def importance_listing(spark, sf):
     table = ex.feature_importance(spark, _fitted(spark, sf), [f"numeric__{n}" for n in FEATURES])
-    return rounded(ex.importance_listing(table).drop("importance"), 5, "explained")
+    return rounded(ex.importance_listing(table).drop("importance"), 4, "explained")
 
 
 # A given linear model over three columns; weights that doubles hold exactly, so both engines

@@ -60,13 +60,13 @@ FROM (SELECT *, w * p * (1 - p) AS v, w * (p - y) AS r
 
 
 _COEFFICIENTS = """
-SELECT 'intercept' AS feature, round(b, 5) AS coefficient FROM beta
-UNION ALL SELECT 'x1', round(b1, 5) FROM beta UNION ALL SELECT 'x2', round(b2, 5) FROM beta"""
+SELECT 'intercept' AS feature, round(b, 4) AS coefficient FROM beta
+UNION ALL SELECT 'x1', round(b1, 4) FROM beta UNION ALL SELECT 'x2', round(b2, 4) FROM beta"""
 
 
 def _coefficients(spark, model) -> DataFrame:
     values = zip(("intercept", *FEATURES), (model.intercept, *map(float, model.coefficients)))
-    return rounded(spark.createDataFrame(list(values), "feature string, coefficient double"), 5, "coefficient")
+    return rounded(spark.createDataFrame(list(values), "feature string, coefficient double"), 4, "coefficient")
 
 
 @query("M02_logistic_regression", newton() + _COEFFICIENTS)

@@ -153,11 +153,10 @@ def _sweep(
         F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"),
     )
-    steps = F.array(*[
-        F.struct(F.lit(t).alias("threshold"), F.lit(edges.index(t) + 1).alias("reach"))
-        for t in thresholds
-    ])
-    rows = group.withColumn("s", F.explode(steps))
+    steps = ", ".join(
+        f"named_struct('threshold', {fn.double(t)}, 'reach', {edges.index(t) + 1})" for t in thresholds
+    )
+    rows = group.withColumn("s", F.expr(f"explode(array({steps}))"))
 
     def above(name: str) -> Column:
         caught = F.filter("h", lambda x: x["bucket"] >= F.col("s.reach"))
@@ -186,21 +185,26 @@ def threshold_sweep(
 
 
 def best_threshold(
-    df: DataFrame, metric: str = "f1", thresholds: Sequence[float] | None = None,
+    df: DataFrame, metric: str | Sequence[str] = "f1", thresholds: Sequence[float] | None = None,
     y_true: str = "y_true", y_prob: str = "y_prob", by: Sequence[str] = (),
 ) -> DataFrame:
-    """The threshold with the highest metric, the lowest one on ties; (0.5, 0.0) if all are 0."""
-    if metric not in ("f1", "recall", "precision"):
-        raise ValueError(f"unknown metric {metric!r}")
+    """The threshold with the highest metric, the lowest one on ties; (0.5, 0.0) if all are 0.
+
+    Several metrics share one sweep and give one row each.
+    """
+    metrics = [metric] if isinstance(metric, str) else list(metric)
+    for name in metrics:
+        if name not in ("f1", "recall", "precision"):
+            raise ValueError(f"unknown metric {name!r}")
+    rates = _rates(*[F.col(c) for c in COUNTS])
+    entries = F.array(*[F.struct(F.lit(x).alias("metric"), rates[x].alias("score")) for x in metrics])
     rows = _sweep(df, thresholds or grid_thresholds(), y_true, y_prob, by)
-    score = _rates(*[F.col(c) for c in COUNTS])[metric]
-    best = rows.groupBy(*by).agg(
-        F.max(F.struct(score.alias("score"), (-F.col("threshold")).alias("neg"))).alias("best")
+    best = rows.select(*by, "threshold", F.inline(entries)).groupBy(*by, "metric").agg(
+        F.max(F.struct("score", (-F.col("threshold")).alias("neg"))).alias("best")
     )
     found = F.col("best.score") > 0
     return best.select(
-        *by, F.lit(metric).alias("metric"),
-        F.when(found, -F.col("best.neg")).otherwise(0.5).alias("threshold"),
+        *by, "metric", F.when(found, -F.col("best.neg")).otherwise(0.5).alias("threshold"),
         F.when(found, F.col("best.score")).otherwise(0.0).alias("score"),
     )
 
