@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions import scalars as fn
-from holdfast.operators.ranking import ACCURACY, exact_medians, sketch_middle
+from holdfast.operators.ranking import ACCURACY, exact_medians
 from holdfast.spec import FeatureSpec
 
 EPS = 2.220446049250313e-16
@@ -38,20 +38,20 @@ def numeric_params(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
     sketch instead of finding it exactly.
     """
     values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
-    sketch = sketch_middle(values, [
-        F.count(F.lit(1)).alias("rows"),
+    found = values.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(f"n_{c}") for c in cols],
         *[F.avg(F.col(c)).alias(f"m_{c}") for c in cols],
         *[F.var_pop(F.col(c)).alias(f"v_{c}") for c in cols],
-    ])
+    ).first()
     if approx:
         medians = values.agg(
             *[F.percentile_approx(F.col(c), 0.5, ACCURACY).alias(c) for c in cols]
         ).unpivot([], list(cols), "feature", "median")
     else:
-        medians = exact_medians(values, sketch)
+        medians = exact_medians(values, {c: found[f"n_{c}"] for c in cols})
     # One row per column name.
     moments = df.sparkSession.createDataFrame(
-        [(c, sketch["rows"], sketch[f"n_{c}"], sketch[f"m_{c}"], sketch[f"v_{c}"]) for c in cols],
+        [(c, found["rows"], found[f"n_{c}"], found[f"m_{c}"], found[f"v_{c}"]) for c in cols],
         "feature string, rows long, k long, m double, v double",
     )
     rows, known = F.col("rows").cast("double"), F.col("k").cast("double")
@@ -122,7 +122,7 @@ def _param(param: str, position: str | None = None, number: str | None = None, t
 
 def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFrame:
     """The params table learned from ``df`` (pass training rows only): one pass over the text
-    columns, and for the numeric ones a sketch with the moments and a pass for the medians."""
+    columns, and for the numeric ones one for the moments and those of the medians."""
     group = F.create_map(*[F.lit(x) for g, c in spec.groups for x in (c, g)])[F.col("feature")]
     parts = []
     if spec.numeric:

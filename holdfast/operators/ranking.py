@@ -7,9 +7,10 @@ thousand rows whatever the input size) are summed up and joined back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +19,17 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
 #: Up to this many rows a median is found by ranking all of them.
 RANK_DIRECTLY = 50_000
-#: Rank error of the quantile sketch is 1 / ACCURACY of the rows.
+#: Rows a quantile sketch reads; of larger tables a sample. Sketches only place cuts and
+#: brackets, whose results are exact wherever they fall.
+SKETCH_ROWS = 4_000_000
+#: Rank error of the median sketch is 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 
 
+def _sample(rows: DataFrame, n: int, size: int) -> DataFrame:
+    return rows if n <= size else rows.sample(size / n, seed=1)
+
+
 def _array(values: Sequence[float]) -> Column:
     # One text literal, folded to one array by the optimizer: cheap for thousands of numbers.
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
@@ -31,18 +39,19 @@ def order_edges(rows: DataFrame, order: str, rows_per_bucket: int | None = None)
     """Values that cut ``rows`` into buckets of about ``rows_per_bucket`` rows.
 
     Quantiles, so the cut follows the data however it clusters, and a value held by a third of
-    the rows costs only its own bucket. Collected once (at most 2,047 numbers) and then used as
+    the rows costs only its own bucket. Large tables are sampled for it: the cut steers where
+    rows are ranked, never which. Collected once (at most 2,047 numbers) and then used as
     literals: every branch and every re-run of a lost task sees the same edges.
     """
     size = rows_per_bucket or ROWS_PER_BUCKET
-    points = ",".join(f"{i}D/{MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    sketch = F.expr(f"percentile_approx(`{order}`, array({points}), {ACCURACY})")
     n = rows.agg(F.count(order)).first()[0]
     if n <= size:
         return []
     buckets = min(MAX_BUCKETS, -(-n // size))
-    found = rows.agg(sketch).first()[0]
-    return sorted({found[i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)})
+    points = ",".join(f"{i}D/{buckets}D" for i in range(1, buckets))
+    sketch = F.expr(f"percentile_approx(`{order}`, array({points}), {4 * buckets + 100})")
+    found = _sample(rows.select(order), n, max(5_000 * buckets, 100_000)).agg(sketch).first()[0]
+    return sorted(set(found or []))
 
 
 def _position(value: Column, edges: Sequence[float]) -> Column:
@@ -131,45 +140,54 @@ def _totals_in_one_bucket(
     )
 
 
-def sketch_middle(values: DataFrame, extra: Sequence[Column] = ()) -> Row:
-    """One pass: per column its count and a bracket that surely holds the median."""
-    margin = 3.0 / ACCURACY
-    probs = [0.5 - margin, 0.5 + margin]
-    return values.agg(
-        *[F.count(F.col(c)).alias(f"n_{c}") for c in values.columns],
-        *[F.percentile_approx(F.col(c), probs, ACCURACY).alias(f"q_{c}") for c in values.columns],
-        *extra,
+def _brackets(values: DataFrame, counts: dict[str, int]) -> tuple[dict, dict, int]:
+    """Per column a value range around its median and the number of smaller values; and the
+    largest count inside a range. A range that misses is replaced by the whole column."""
+    n = max(counts.values())
+    share = min(1.0, SKETCH_ROWS / n)
+
+    def sketch(c: str) -> Column:
+        margin = 3.0 / ACCURACY
+        if share < 1:  # six standard errors of a sampled rank
+            margin += 3.0 / math.sqrt(max(1.0, counts[c] * share))
+        return F.percentile_approx(F.col(c), [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], ACCURACY)
+
+    rough = _sample(values, n, SKETCH_ROWS).agg(*[sketch(c).alias(c) for c in counts]).first()
+    ranges = {c: tuple(rough[c] or (-math.inf, math.inf)) for c in counts}
+    found = values.agg(
+        *[F.count_if(F.col(c) < lo).alias(f"b_{c}") for c, (lo, _) in ranges.items()],
+        *[F.count_if(F.col(c).between(lo, hi)).alias(f"i_{c}") for c, (lo, hi) in ranges.items()],
     ).first()
+    below, largest = {}, 0
+    for c, total in counts.items():
+        under, inside = found[f"b_{c}"], found[f"i_{c}"]
+        if under > (total - 1) // 2 or under + inside <= total // 2:
+            ranges[c], under, inside = (-math.inf, math.inf), 0, total
+        below[c], largest = under, max(largest, inside)
+    return ranges, below, largest
 
 
-def exact_medians(values: DataFrame, sketch: Row | None = None) -> DataFrame:
+def exact_medians(values: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     """(feature, median) of every double column, the two middle values averaged.
 
-    A sketch gives a narrow bracket around each middle, one aggregate counts what lies below it,
-    and only the values inside the bracket (well under 1 % of the rows, equal ones merged) are
-    shuffled and ranked. A small table is ranked as it is. Columns without values have no row.
+    A sketch gives a narrow range around each middle, one aggregate counts what lies below it,
+    and only the values inside the range (under 1 % of the rows, equal ones merged) are shuffled
+    and ranked. A small table is ranked as it is. Columns without values have no row.
+    ``counts`` are the numbers of values, if known.
     """
     spark, cols = values.sparkSession, values.columns
-    sketch = sketch or sketch_middle(values)
-    counts = {c: sketch[f"n_{c}"] for c in cols if sketch[f"n_{c}"]}
+    if counts is None:
+        counts = values.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+    counts = {c: n for c, n in counts.items() if n}
     if not counts:
         return spark.createDataFrame([], "feature string, median double")
-    direct = max(counts.values()) <= RANK_DIRECTLY
-    small, below = direct, {c: 0 for c in counts}
-    if not direct:
-        brackets = {c: tuple(sketch[f"q_{c}"]) for c in counts}
-        found = values.agg(
-            *[F.count_if(F.col(c) < lo).alias(f"b_{c}") for c, (lo, _) in brackets.items()],
-            *[F.count_if(F.col(c).between(lo, hi)).alias(f"i_{c}") for c, (lo, hi) in brackets.items()],
-        ).first()
-        below = {c: found[f"b_{c}"] for c in counts}
-        inside = {c: found[f"i_{c}"] for c in counts}
-        if any(b > (counts[c] - 1) // 2 or b + inside[c] <= counts[c] // 2 for c, b in below.items()):
-            raise RuntimeError("a bracket misses its median")
+    below, largest = dict.fromkeys(counts, 0), max(counts.values())
+    if largest > RANK_DIRECTLY:
+        ranges, below, largest = _brackets(values.select(*counts), counts)
         values = values.select(
-            *[F.when(F.col(c).between(*brackets[c]), F.col(c)).alias(c) for c in counts]
+            *[F.when(F.col(c).between(*ranges[c]), F.col(c)).alias(c) for c in counts]
         )
-        small = max(inside.values()) <= ROWS_PER_BUCKET
+    small = largest <= ROWS_PER_BUCKET
     rows = values.unpivot([], list(counts), "feature", "value").where("value is not null")
     ranked = running_totals(
         rows.withColumn("n", F.lit(1).cast("long")), "value", ("n",), ("feature",),

@@ -121,11 +121,13 @@ def test_medians(spark, values, bracket):
     assert got == {"v": statistics.median(values), "one": 1.0}
 
 
-def test_medians_of_a_real_table(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [10**6, 500, 3])
+def test_medians_of_a_real_table(spark, monkeypatch, sample):
     df = fx.table(spark, SF, "lineitem").select("l_extendedprice", "l_quantity")
     want = df.agg(*[F.percentile(c, 0.5) for c in df.columns]).first()
     monkeypatch.setattr(ranking, "RANK_DIRECTLY", 0)
     monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(ranking, "SKETCH_ROWS", sample)
     got = dict(rows(ranking.exact_medians(df)))
     assert [got[c] for c in df.columns] == pytest.approx(list(want), abs=1e-9)
 
