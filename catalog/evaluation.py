@@ -271,3 +271,14 @@ FROM (SELECT unnest(['true_negatives', 'false_positives', 'false_negatives', 'tr
              unnest([tn, fp, fn, tp]) AS n, tn + fp + fn + tp AS total FROM ({q.counts(q.SCORED)}))""")
 def error_report(spark, sf):
     return _saved(spark, "errors", reports.error_report(_labelled(spark, sf)))
+
+
+def _shown(c):
+    return (f"CASE WHEN feature LIKE 'mean %' THEN printf('%.1f', {c}) ELSE printf('%.0f%%', {c} * 100e0) END AS {c}")
+
+
+@query("S08_profile_report", f"""
+SELECT feature, {_shown('among_errors')}, {_shown('among_class')}
+FROM ({_profile_sql("y_true = 1 AND p = 0", "y_true = 1", "Two year")})""")
+def profile_report(spark, sf):
+    return _saved(spark, "profile", reports.profile_report(m.false_negative_profile(_labelled_accounts(spark, sf))))

@@ -31,3 +31,12 @@ def calibration_report(df: DataFrame, n_bins: int = 10) -> DataFrame:
 def error_report(df: DataFrame) -> DataFrame:
     rows = m.outcome_counts(df)
     return rows.select("outcome", "n", F.concat(fn.fixed("percent", 1), F.lit("%")).alias("percent"))
+
+
+def profile_report(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """An error profile: means with one decimal, shares as whole percents."""
+
+    def shown(c: str):
+        return F.when(F.col("feature").startswith("mean "), fn.fixed(c, 1)).otherwise(fn.percent(c, 0))
+
+    return profile.select(*by, "feature", *[shown(c).alias(c) for c in ("among_errors", "among_class")])

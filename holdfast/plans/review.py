@@ -35,8 +35,8 @@ def review(
         "calibration": reports.calibration_report(scored),
         "brier": m.brier_score(scored),
         "errors": reports.error_report(scored),
-        "false_negatives": m.false_negative_profile(scored),
-        "false_positives": m.false_positive_profile(scored),
+        "false_negatives": reports.profile_report(m.false_negative_profile(scored)),
+        "false_positives": reports.profile_report(m.false_positive_profile(scored)),
     }
     if out:
         save_reports(tables, out)

@@ -1,9 +1,12 @@
 """Registered queries against their SQL in another engine."""
 
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from conftest import plan
 from tools.check import TABLES, compare
 
 DIR = "/root/testdata/sf0.01"
@@ -25,6 +28,23 @@ def test_query_equals_sql(spark, con, name):
     assert got.startswith("ok") and "nearly" not in got, got
 
 
+@pytest.mark.parametrize("name,columns", [
+    ("G12_evaluation_record", {"o_orderkey", "o_orderstatus"}), ("G05_threshold_sweep", {"o_orderkey", "o_orderstatus"}),
+    ("W01_roc_curve", {"o_orderkey", "o_orderstatus"}), ("R01_split_60_20_20", {"o_orderkey", "o_orderstatus"}),
+    ("F01_median", {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}), ("P05_value_counts", None),
+])
+def test_scans_read_only_the_needed_columns(spark, name, columns):
+    text = plan(entry.queries()[name](spark, DIR))
+    read = [set(re.findall(r"(\w+):", x)) for x in re.findall(r"ReadSchema: struct<(.*?)>", text)]
+    assert read and all(r <= (columns or {"c_custkey", "c_acctbal", "o_custkey", "o_orderdate"}) for r in read)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
+
+
+def test_date_filters_reach_the_scan(spark):
+    text = plan(entry.queries()["C02_text_to_number"](spark, DIR))
+    assert re.search(r"PushedFilters: \[[^]]*o_orderdate", text)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
 
