@@ -140,10 +140,10 @@ def _baseline(spark, sf) -> tuple[PipelineModel, DataFrame]:
     return md.fit_pipeline(rows.where("split = 'train'"), BASELINE, balanced=True).model, rows
 
 
-@query("M06_fit_pipeline", f"""
+@query("M06_fit_with_preprocessing", f"""
 SELECT split, count(*) AS n_samples, CAST(sum(label) AS BIGINT) AS n_positive, count(*) AS n_scored
 FROM ({q.SPLIT_ACCOUNTS}) GROUP BY split""")
-def fit_pipeline(spark, sf):
+def fit_with_preprocessing(spark, sf):
     model, rows = _baseline(spark, sf)
     return md.score(model, rows, ["split", "label"]).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("label").cast("long")).alias("n_positive"),

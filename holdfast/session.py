@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
@@ -17,11 +20,12 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="holdfast-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.applicationId not in _SCRATCH:
+        _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="holdfast-")
+    return _SCRATCH[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -31,6 +35,5 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative fits (boosted trees) a place to cut their lineage."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_root(spark))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
