@@ -46,9 +46,11 @@ def split_accounts(spark, sf, spec=BASELINE) -> DataFrame:
 
 def fitted(spark, sf, spec) -> tuple[pp.FittedPreprocessor, DataFrame]:
     """Preprocessor learned from the training rows, and all rows."""
-    rows = split_accounts(spark, sf, spec)
-    with kept(rows.where("split = 'train'")) as train:
-        return pp.fit_preprocessor(train, spec), rows
+    rows = prepared(spark, sf, spec=spec)
+    with kept(rows) as cached:
+        cuts = fit_splits(cached, "label", ID, 0.70, 0.15, 0.15)
+        model = pp.fit_preprocessor(cuts.assign(cached).where("split = 'train'"), spec)
+    return model, cuts.assign(rows)
 
 
 _WITH = f"""WITH base AS MATERIALIZED ({q.SPLIT_ACCOUNTS}),

@@ -99,7 +99,7 @@ def _split_vectors(spark, sf) -> DataFrame:
 
 
 def _quality(trained, rows) -> DataFrame:
-    scored = md.score_candidates(trained, rows.where("split <> 'test'"), ["split"])
+    scored = md.score_candidates(trained, rows.where("split <> 'test'"), ["split"]).persist()
     record = m.evaluation_record(scored, by=["model", "split"])
     return record.select("model", "split", "n_samples", "n_positive",
                          (F.col("roc_auc") > AUC_FLOOR).alias("above_floor"))

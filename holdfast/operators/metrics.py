@@ -300,10 +300,11 @@ def _long_metrics(record: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 
 def split_gap(
     df: DataFrame, split: str = "split", first: str = "validation", second: str = "test",
-    threshold: float = 0.5, limit: float = GAP_LIMIT,
+    threshold: float = 0.5, limit: float = GAP_LIMIT, y_pred: str | None = None,
 ) -> DataFrame:
     """Per metric its value on two splits, the difference, and whether it exceeds the limit."""
-    record = evaluation_record(df.where(F.col(split).isin(first, second)), threshold, by=(split,))
+    rows = df.where(F.col(split).isin(first, second))
+    record = evaluation_record(rows, threshold, y_pred=y_pred, by=(split,))
     long = _long_metrics(record, (split,), METRICS)
     wide = long.groupBy("metric").pivot(split, [first, second]).agg(F.max("value"))
     gap = F.col(first) - F.col(second)

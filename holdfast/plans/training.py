@@ -26,11 +26,6 @@ class BaselineRun:
     gaps: DataFrame
 
 
-def _evaluated(pipeline: md.FittedPipeline, rows: DataFrame) -> DataFrame:
-    scored = md.score(pipeline.model, rows, ["split", F.col("label").alias("y_true")])
-    return m.evaluation_record(scored, y_pred="y_pred", by=("split",))
-
-
 def train_baseline(
     raw: DataFrame, out: str | None = None, spec: FeatureSpec = BASELINE, seed: int = 42,
 ) -> BaselineRun:
@@ -43,15 +38,16 @@ def train_baseline(
     cuts = fit_splits(rows, "label", id_col, 0.70, 0.15, 0.15, seed)
     rows = cuts.assign(rows).persist()
     pipeline = md.fit_pipeline(rows.where("split = 'train'"), spec, balanced=True)
-    held_out = rows.where("split <> 'train'")
-    evaluation = _evaluated(pipeline, held_out)
-    scored = md.score(pipeline.model, held_out, ["split", F.col("label").alias("y_true")])
+    # Scoring costs more than the two columns it leaves; metrics read them several times.
+    keep = ["split", F.col("label").alias("y_true")]
+    scored = md.score(pipeline.model, rows.where("split <> 'train'"), keep).persist()
+    evaluation = m.evaluation_record(scored, y_pred="y_pred", by=("split",))
     if out:
         art.save_model(pipeline.model, f"{out}/model")
         config = {"solver": "lbfgs", "max_iter": 1000, "class_weight": "balanced", "C": 1.0, "seed": seed}
         art.save_metrics(art.metrics_record(evaluation, "LogisticRegression", config), f"{out}/metrics")
         art.save_schema(schema_table(pipeline.preprocessor, rows), f"{out}/schema")
-    return BaselineRun(pipeline, cuts, evaluation, m.split_gap(scored))
+    return BaselineRun(pipeline, cuts, evaluation, m.split_gap(scored, y_pred="y_pred"))
 
 
 @dataclass(frozen=True)
@@ -77,12 +73,14 @@ def train_candidates(
     train = rows.where("split = 'train'")
     prep = fit_preprocessor(train, spec).pipeline(train)
     ready = prep.transform(rows).select(id_col, "split", "label", "features").persist()
+    summary = split_summary(ready, "label")
     trained = md.train_candidates(ready.where("split = 'train'"), id_col, params=params)
-    scored = md.score_candidates(trained, ready.where("split <> 'test'"), ["split"])
+    rows.unpersist()
+    scored = md.score_candidates(trained, ready.where("split <> 'test'"), ["split"]).persist()
     comparison = m.compare_models(scored.where("split = 'validation'"))
     best = comparison.first()["model"]
     if out:
         for name in {best, "logistic_regression"}:
             model = md.PipelineModel([*prep.stages, trained[name].model])
             art.save_model(model, f"{out}/{name}")
-    return CandidateRun(trained, split_summary(rows, "label"), comparison, m.overfit_report(scored), best, scored)
+    return CandidateRun(trained, summary, comparison, m.overfit_report(scored), best, scored)
