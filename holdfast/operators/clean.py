@@ -16,6 +16,13 @@ def _string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def _number(df: DataFrame, col: str) -> Column:
+    """The column as double; only text needs parsing."""
+    if isinstance(df.schema[col].dataType, T.StringType):
+        return fn.to_number(col)
+    return F.col(col).cast("double")
+
+
 def strip_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """White space removed at both ends of every string column (or of ``cols``)."""
     return df.withColumns({c: fn.strip(c) for c in (cols or _string_columns(df))})
@@ -23,7 +30,7 @@ def strip_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 def text_to_number(df: DataFrame, col: str) -> DataFrame:
     """Text column as double, unreadable text as null."""
-    return df.withColumn(col, fn.to_number(col))
+    return df.withColumn(col, _number(df, col))
 
 
 def blank_charges_to_zero(
@@ -35,7 +42,7 @@ def blank_charges_to_zero(
     must not sum to more than zero (``strict``: no single row may be above zero). The check is
     one aggregate over two columns and runs here, before anything reads the result.
     """
-    number = fn.to_number(col)
+    number = F.nanvl(_number(df, col), F.lit(None))
     suspect = F.when(number.isNull(), F.col(tenure))
     total, worst = df.agg(F.sum(suspect), F.max(suspect)).first()
     if ((worst if strict else total) or 0) > 0:
@@ -76,14 +83,14 @@ def select_features(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ())
     return df.select(*keep, *spec.features)
 
 
-def account_rules() -> list[tuple[str, Column]]:
+def account_rules(df: DataFrame) -> list[tuple[str, Column]]:
     """(reason, condition that makes a record invalid) for an account record.
 
     A plain-text feature only has to be present: a value never seen in training is valid.
     """
-    tenure = fn.to_number("tenure")
-    monthly, total = fn.to_number("MonthlyCharges"), fn.to_number("TotalCharges")
-    senior = fn.to_number("SeniorCitizen")
+    tenure, monthly, total, senior = (
+        _number(df, c) for c in ("tenure", "MonthlyCharges", "TotalCharges", "SeniorCitizen")
+    )
 
     def bad(valid: Column) -> Column:
         return ~F.coalesce(valid, F.lit(False))
@@ -110,7 +117,7 @@ def validate_records(
     df: DataFrame, rules: Sequence[tuple[str, Column]] | None = None, reasons: str = "reasons"
 ) -> DataFrame:
     """Every record with the list of fields that are not acceptable; empty means valid."""
-    rules = account_rules() if rules is None else rules
+    rules = account_rules(df) if rules is None else rules
     found = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules])
     return df.withColumn(reasons, F.array_compact(found))
 

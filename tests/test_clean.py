@@ -78,6 +78,27 @@ def test_validation(spark, change, reasons):
     assert (valid.count(), rejected.count()) == ((0, 1) if reasons else (1, 0))
 
 
+def test_validation_of_typed_columns(spark):
+    inf, nan = float("inf"), float("nan")
+    typed = {"tenure": "int", "SeniorCitizen": "int", "MonthlyCharges": "double", "TotalCharges": "double"}
+    schema = ", ".join(f"{c} {typed.get(c, 'string')}" for c in RECORD)
+
+    def reasons(**change):
+        record = RECORD | {"tenure": 12, "SeniorCitizen": 0, "MonthlyCharges": 50.0, "TotalCharges": 600.0} | change
+        df = spark.createDataFrame([tuple(record.values())], schema)
+        return clean.validate_records(df).first()["reasons"]
+
+    assert reasons() == [] and reasons(MonthlyCharges=inf) == []
+    assert reasons(MonthlyCharges=nan, TotalCharges=-0.01) == ["MonthlyCharges", "TotalCharges"]
+    assert reasons(tenure=101, SeniorCitizen=None) == ["tenure", "SeniorCitizen"]
+
+
+def test_number_columns_pass_through(spark):
+    df = spark.createDataFrame([(1.5, 3), (None, 0), (float("nan"), 0)], "TotalCharges double, tenure int")
+    assert rows(clean.blank_charges_to_zero(df), "TotalCharges") == [(0.0,), (0.0,), (1.5,)]
+    assert clean.text_to_number(df, "TotalCharges").where("TotalCharges = 1.5").count() == 1
+
+
 def test_prepare_keeps_id_features_label(spark):
     raw = fx.accounts(spark, SF)
     for spec, mode in ((BASELINE, "impute"), (GROUPED, "zero")):
