@@ -21,6 +21,8 @@ WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_LETTERS = "0123456789!\"'()+,-./:;=?@[\\]^_`{}~" + SYMBOLS
+#: All but capital letters, digits and ASCII marks.
+RARE = "[^!-`{-~]+"
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "der", "die", "und", "das", "ist", "de", "la", "le", "les", "et",
               "des", "que", "el", "en", "los", "y")
@@ -59,19 +61,22 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def _repeat_words(windows: Column, words: Column) -> Column:
-    """Words in windows whose text occurs twice; equal hashes are confirmed on the words themselves."""
-    keyed = F.sort_array(F.transform(windows, lambda h, i: F.struct(
+def _keyed_windows(windows: Column, words: Column) -> Column:
+    """Windows in the order of their hash and words, each with its place."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(
         h.alias("h"), F.concat_ws(" ", F.slice(words, i + 1, WINDOW)).alias("t"), i.alias("i"))))
 
-    def positions(k: Column) -> Column:
-        def same(x: Column, i: Column) -> Column:
-            other = F.get(k, i)
-            return (other["h"] == x["h"]) & (other["t"] == x["t"])
-        return F.sort_array(F.transform(F.filter(k, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
+def _repeat_words(keyed: Column) -> Column:
+    """Words in windows that have a neighbour with the same hash and words."""
+
+    def same(x: Column, i: Column) -> Column:
+        other = F.get(keyed, i)
+        return (other["h"] == x["h"]) & (other["t"] == x["t"])
+
+    places = F.sort_array(F.transform(F.filter(keyed, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
-    return F.aggregate(positions(keyed), start, lambda acc, p: F.struct(
+    return F.aggregate(places, start, lambda acc, p: F.struct(
         (p + WINDOW).alias("end"),
         (acc["total"] + WINDOW - F.greatest(acc["end"] - p, F.lit(0))).alias("total")), lambda acc: acc["total"])
 
@@ -79,14 +84,13 @@ def _repeat_words(windows: Column, words: Column) -> Column:
 def text_statistics(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts over the whole text, computed without moving rows."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    without = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     base = texts(docs).select(
         "doc_id", F.array_remove(F.split("text", WHITE_RUN), "").alias("words"), lines.alias("lines"),
-        F.length(F.translate("text", WHITE, "")).alias("word_chars"), without(SYMBOLS).alias("n_symbols"),
-        without(UPPER).alias("n_upper"), without(NOT_LETTERS).alias("n_other"), without("!").alias("n_exclaims"),
-    )
+        F.regexp_replace("text", RARE, "").alias("rare"))
+    without = lambda chars: F.length("rare") - F.length(F.translate("rare", chars, ""))
     hashed = base.withColumns({
-        "n_words": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w)),
+        "word_chars": F.length(F.array_join("words", "")), "n_symbols": without(SYMBOLS), "n_upper": without(UPPER),
+        "n_other": without(NOT_LETTERS), "n_exclaims": without("!"), "n_words": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w)),
         "n_lines": F.size("lines"), "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_stop_words": F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in STOP_WORDS]))),
     })
@@ -96,9 +100,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_other",
              "n_exclaims", "n_stop_words"]
-    return windowed.withColumn(
-        "n_repeat_words", F.when(repeated, _repeat_words(F.col("windows"), F.col("words"))).otherwise(0),
-    ).select("doc_id", *[F.col(c).cast("long").alias(c) for c in longs])
+    # columns of their own: an expression inside a lambda would be evaluated for every element
+    keyed = windowed.withColumn("keyed", F.when(repeated, _keyed_windows(F.col("windows"), F.col("words"))))
+    return keyed.withColumn("n_repeat_words", F.coalesce(_repeat_words(F.col("keyed")), F.lit(0))).select(
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in longs])
 
 
 def _posterior(prior: Column, accuracy: Column, votes: Column) -> Column:

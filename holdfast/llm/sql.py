@@ -18,19 +18,22 @@ _POSTERIOR = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {_ODDS})))"
 _STEP = ", ".join(
     f"(sum(n * CASE v{r} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + 16.0) / (sum(n * abs(v{r})) + 20.0)" for r in _RULES)
 
+_EIGHT = "x" + "".join(f" || ' ' || lead(x, {k}) OVER o" for k in range(1, 8))
+
 QUALITY_RULES = rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
+x AS (SELECT rid, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM d),
 w AS (
-  SELECT rid, i, array_to_string(words[i + 1:i + 8], ' ') AS t
-  FROM (SELECT rid, words, unnest(range(0, len(words) - 7)) AS i FROM d WHERE len(words) >= 8)),
+  SELECT rid, i, {_EIGHT} AS t
+  FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
 r AS (
   SELECT rid, count(DISTINCT p) AS n
   FROM (SELECT rid, unnest(range(i, i + 8)) AS p
-        FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS c FROM w) WHERE c > 1)
+        FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS c FROM w WHERE t IS NOT NULL) WHERE c > 1)
   GROUP BY rid),
 s AS (
   SELECT d.rid, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
