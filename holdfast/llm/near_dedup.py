@@ -78,11 +78,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, band, key)`` of every band that is not empty."""
-    bands = np.ascontiguousarray(signatures).view("<u8").reshape(len(signatures), -1)
-    row, band = np.nonzero(bands)
-    return row, band, mixed(bands[row, band] ^ mixed(band.astype(np.uint64) + np.uint64(1))).view(np.int64)
+#: For each register the order in which others stand in for it while it is empty; itself comes first.
+_STAND_IN = np.stack([
+    np.r_[j, (order := np.random.default_rng(j).permutation(REGISTERS))[order != j]] for j in range(REGISTERS)])
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A key per band. Empty registers take the value of the first filled one in their order, so that registers of small
+    sets, too, agree with a probability equal to the similarity."""
+    out = []
+    for first in range(0, len(signatures), 256):
+        part = signatures[first:first + 256]
+        chosen = (part > 0)[:, _STAND_IN].argmax(2)
+        dense = np.take_along_axis(part, _STAND_IN[np.arange(REGISTERS), chosen], 1)
+        bands = np.ascontiguousarray(dense).view("<u8").reshape(len(part), -1)
+        out.append(mixed(bands ^ mixed(np.arange(1, bands.shape[1] + 1, dtype=np.uint64))).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, REGISTERS // BAND), np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +128,9 @@ def _bands(nodes: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            row, _, key = band_keys(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("cls").take(pa.array(row))], names=["bucket", "cls"])
+            keys = band_keys(sig)
+            row = np.repeat(np.arange(len(keys)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("cls").take(pa.array(row))], names=["bucket", "cls"])
 
     return nodes.select("cls", "sig").mapInArrow(split, "bucket long, cls binary")
 
@@ -132,9 +144,10 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _split_buckets(members: DataFrame) -> DataFrame:
     """Members (bucket, cls, label) of buckets that hold several components."""
-    several = members.groupBy("bucket").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
-    return members.join(several.select("bucket", "size"), "bucket")
+    # written, so that both sides of the join are plain exchanges, which adaptive execution splits where one is skewed
+    several = stored(members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(
+        "l0 != l1").select("bucket"), "near-several")
+    return members.join(several, "bucket")
 
 
 def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
@@ -146,7 +159,7 @@ def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
 def _star(members: DataFrame, seed: int) -> DataFrame:
     """Each node of a bucket with the bucket's centre, of another component."""
     order = F.struct(F.xxhash64(F.col("cls"), F.lit(seed)).alias("o"), F.col("cls").alias("cls"), F.col("label").alias("label"))
-    centre = members.groupBy("bucket").agg(F.min(order).alias("c"))
+    centre = stored(members.groupBy("bucket").agg(F.min(order).alias("c")), "near-centres")
     return members.join(centre, "bucket").where("c.label != label").select(
         F.col("c.cls").alias("hub"), F.col("cls").alias("member"))
 
@@ -180,7 +193,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
 
     A hub's members come to its set; a hub with many members is dealt out with one copy of the set per ``PER_CENTRE``.
     """
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_CENTRE).cast("int").alias("copies"))
+    hubs = stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_CENTRE).cast("int").alias("copies")), "near-hubs")
     members = pairs.join(hubs, "hub").select(
         "hub", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("part"),
         F.lit(1).alias("role"), F.col("member").alias("cls"))
@@ -220,7 +233,7 @@ def _any(df: DataFrame) -> bool:
 def _all_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """``node, label`` of every class that is linked with another; None without links."""
     bands = _bands(nodes)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     buckets = stored(bands.join(shared, "bucket").select("bucket", "cls", "size"), "near-buckets")
     links, labels = None, None
     large = buckets.where(F.col("size") > SMALL).select("bucket", "cls")

@@ -411,9 +411,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
     """``id, h, start, end``: runs of bytes of the text with that key which repeat; they may overlap."""
     found = stored(_find_anchors(docs, least), "anchors")
     # grams that occur again, and whether in different spans; counted per task before the shuffle
-    grams = found.groupBy("gram").agg(
-        F.sum("times").alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("n > 1")
-    again = stored(found.join(grams.select("gram", (F.col("s0") != F.col("s1")).alias("differ")), "gram"), "anchors-again")
+    # and written, so that both sides of the join are plain exchanges, which adaptive execution splits where one is skewed
+    grams = stored(found.groupBy("gram").agg(
+        F.sum("times").alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("n > 1").select(
+            "gram", (F.col("s0") != F.col("s1")).alias("differ")), "grams")
+    again = stored(found.join(grams, "gram"), "anchors-again")
     runs = [again.where("not differ").select("id", "h", *_run(F.col("at"), F.col("before"), F.col("after"), least))]
     differ = again.where("differ")
     spans = stored(differ.groupBy("gram", "span").agg(
@@ -422,8 +424,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Data
     ).select("gram", "span", (F.col("n") == 1).alias("live"), "place.*"), "spans")
     runs.append(differ.join(spans.where("not live").select("gram", "span"), ["gram", "span"]).select(
         "id", "h", *_run(F.col("at"), F.col("before"), F.col("after"), least)))
-    sizes = spans.groupBy("gram").agg(F.count("*").alias("n"), F.max("live").alias("any")).where("n > 1 and any")
-    open_ = spans.join(sizes, "gram").drop("any")
+    sizes = stored(spans.groupBy("gram").agg(F.count("*").alias("n"), F.max("live").alias("any")).where(
+        "n > 1 and any").drop("any"), "gram-sizes")
+    open_ = spans.join(sizes, "gram")
     contexts = stored(_contexts(open_.drop("n"), docs, least).dropDuplicates(["key", "span"]).join(
         sizes.select(F.col("gram").alias("key"), "n"), "key"), "contexts")
     runs.append(_sorted_groups(contexts.where(F.col("n") <= most), least))
