@@ -8,8 +8,8 @@
    the same for most bands of a group, so candidates grow with the nodes and not with their square. Registers estimate the
    similarity, corrected for chance agreement; pairs six standard errors below the threshold are dropped.
 4. What is left is confirmed on the full sets, and links are joined into components. Larger buckets that still hold several
-   components get a second centre, and after that are split by their nodes' other bands and compared in full, so
-   no link depends on the choice of centres.
+   components get a second centre. After that, buckets that share nodes form a family; in each, the nodes outside its
+   largest component are compared with the whole family in blocks, on full sets, so no link depends on the centres.
 
 A pair at similarity 0.8 shares no band at all with a probability of 5e-8.
 
@@ -36,8 +36,8 @@ from holdfast.llm.links import connected
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Buckets up to this size are compared pair by pair at once.
 SMALL = 16
-#: Members that are compared with one copy of a centre's set.
-PER_CENTRE = 500
+#: Members that are compared with one copy of a centre's set, and nodes in a block of a family.
+PER_CENTRE = PER_BLOCK = 500
 CLASSES = word_classes(WHITE, True)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,11 +200,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     centres = hubs.select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.lit(0).alias("role"),
         F.col("hub").alias("cls"))
-    wanted = members.unionByName(centres).join(nodes.select("cls", "doc_id", "h"), "cls")
-    found = texts(docs).withColumn("h", F.xxhash64("text"))
-    placed = wanted.join(
-        found, (known_id(wanted["doc_id"]) == known_id(found["doc_id"])) & (wanted["h"] == found["h"]),
-    ).select("hub", "part", "role", "cls", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
+    placed = _with_texts(members.unionByName(centres), nodes, docs).repartition("hub", "part").sortWithinPartitions(
+        "hub", "part", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, centre = None, None
@@ -226,6 +223,79 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     return placed.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _within_families(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components of a family: its nodes outside the largest component against all its nodes.
+
+    Both are dealt into blocks of ``PER_BLOCK``, and a task holds one block of the former while the latter stream by.
+    """
+    least = stored(rest.groupBy("bucket").agg(F.min("cls").alias("first")), "near-firsts")
+    family = connected(rest.join(least, "bucket").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct())
+    members = stored(rest.select("cls", "label").distinct().join(
+        family.select(F.col("node").alias("cls"), F.col("label").alias("family")), "cls"), "near-family")
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    largest = stored(sizes.groupBy("family").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("nodes")).where("top.n < nodes").select(
+            "family", F.col("top.label").alias("top"), F.ceil(F.col("nodes") / PER_BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("nodes") - F.col("top.n")) / PER_BLOCK).cast("int").alias("parts")), "near-largest")
+    placed = members.join(largest, "family")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    columns = lambda role, block, part: ["family", block.alias("block"), part.alias("part"), F.lit(role).alias("role"),
+                                         "label", "cls"]
+    wanted = placed.where("label != top").select(
+        "*", every("blocks").alias("block")).select(*columns(0, F.col("block"), dealt("parts"))).unionByName(
+        placed.select("*", every("parts").alias("part")).select(*columns(1, dealt("blocks"), F.col("part"))))
+    key = ["family", "block", "part"]
+    texts_of = _with_texts(wanted, nodes, docs).repartition(*key).sortWithinPartitions(*key, "role")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, passing = None, [], []
+        for b in batches:
+            links: list[tuple[bytes, bytes]] = []
+            rows = zip(*(b.column(c).to_pylist() for c in (*key, "role", "label", "cls")),
+                       shingle_sets(*utf8(b.column("text")), width))
+            for family, block, part, role, label, cls, found in rows:
+                if place != (family, block, part):
+                    links += _against(held, passing, percent)
+                    place, held, passing = (family, block, part), [], []
+                (passing if role else held).append((label, cls, found))
+                if len(passing) == PER_BLOCK:
+                    links += _against(held, passing, percent)
+                    passing = []
+            links += _against(held, passing, percent)
+            passing = []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], names=["a", "b"])
+
+    return texts_of.mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _against(held: list, passing: list, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of each held node with the passing ones of other components."""
+    if not held or not passing:
+        return []
+    size = np.array([len(x) for _, _, x in passing])
+    flat = np.concatenate([x for _, _, x in passing])
+    start = np.r_[0, size.cumsum()[:-1]]
+    out = []
+    for label, cls, own in held:
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[at] == flat).astype(np.int64), start)
+        for k in np.flatnonzero(100 * both >= percent * (len(own) + size - both)).tolist():
+            if passing[k][0] != label:
+                out.append((cls, passing[k][1]))
+    return out
+
+
+def _with_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` with the text of the first row of each class."""
+    placed = wanted.join(nodes.select("cls", "doc_id", "h"), "cls")
+    found = texts(docs).withColumn("h", F.xxhash64("text"))
+    return placed.join(
+        found, (known_id(placed["doc_id"]) == known_id(found["doc_id"])) & (placed["h"] == found["h"]),
+    ).select(*wanted.columns, "text")
+
+
 def _any(df: DataFrame) -> bool:
     return bool(df.take(1))
 
@@ -248,14 +318,9 @@ def _all_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
                 break
             if step == 1:
                 pairs = _star(rest.select("bucket", "cls", "label"), step)
-            else:  # the nodes' other bands split what is left
-                other = buckets.select(F.col("bucket").alias("other"), "cls")
-                finer = rest.select("bucket", "cls", "label").join(other, "cls").where("bucket != other").select(
-                    F.least("bucket", "other").alias("bucket"), F.greatest("bucket", "other").alias("other"), "cls", "label",
-                ).distinct()
-                several = finer.groupBy("bucket", "other").agg(
-                    F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
-                pairs = _all_pairs(finer.join(several.select("bucket", "other"), ["bucket", "other"]), ["bucket", "other"])
+            else:
+                new = stored(_within_families(rest, nodes, docs, width, percent), "near-links")
+                return connected(new if links is None else links.unionByName(new)) if _any(new) else labels
         likely = stored(_likely(pairs, nodes, percent), "near-pairs")
         if not _any(likely):
             continue
