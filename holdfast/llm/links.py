@@ -20,9 +20,10 @@ def connected(links: DataFrame) -> DataFrame:
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")), "labels")
     while True:
-        least = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        spread = labels.join(least, F.col("node") == F.col("a")).select(
-            "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        heard = edges.join(labels, F.col("b") == F.col("node")).select(
+            F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        spread = labels.select("node", "label", F.col("label").alias("old")).unionByName(heard).groupBy("node").agg(
+            F.min("label").alias("label"), F.min("old").alias("old"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("tl"))
         new = stored(spread.join(target, F.col("label") == F.col("t")).select(
             "node", F.least("label", "tl").alias("label"), F.col("old")), "labels")

@@ -4,12 +4,12 @@
    is one node, however many copies it has.
 2. One pass over the set fills ``REGISTERS`` buckets; a register keeps the leading zeros of its bucket's least hash and the
    next ``MANTISSA`` bits. Registers are banded by ``BAND``; nodes that agree in a band share a bucket.
-3. In a bucket of at most ``SMALL`` nodes all pairs are candidates; in a larger one each node is paired with one centre,
-   the same for most bands of a group, so candidates grow with the nodes and not with their square. Registers estimate the
+3. In a bucket of at most ``SMALL`` nodes all pairs are candidates; in a larger one each node is paired with ``CENTRES``
+   centres, the same for most bands of a group, so candidates grow with the nodes and not with their square. Registers estimate the
    similarity, corrected for chance agreement; pairs six standard errors below the threshold are dropped.
 4. What is left is confirmed on the full sets, and links are joined into components. Larger buckets that still hold several
-   components get a second centre. After that, buckets that share nodes form a family; in each, the nodes outside its
-   largest component are compared with the whole family in blocks, on full sets, so no link depends on the centres.
+   components and have the same one as their largest form a family; in each, the nodes outside that component are
+   compared with the whole family in blocks, on full sets, so no link depends on the choice of centres.
 
 A pair at similarity 0.8 shares no band at all with a probability of 5e-8.
 
@@ -36,6 +36,8 @@ from holdfast.llm.links import connected
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Buckets up to this size are compared pair by pair at once.
 SMALL = 16
+#: Centres of a larger bucket.
+CENTRES = 3
 #: Members that are compared with one copy of a centre's set, and nodes in a block of a family.
 PER_CENTRE = PER_BLOCK = 500
 CLASSES = word_classes(WHITE, True)
@@ -156,12 +158,13 @@ def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
     return x.join(y, key).where("c0 < c1 and l0 != l1").select(F.col("c0").alias("hub"), F.col("c1").alias("member"))
 
 
-def _star(members: DataFrame, seed: int) -> DataFrame:
-    """Each node of a bucket with the bucket's centre, of another component."""
-    order = F.struct(F.xxhash64(F.col("cls"), F.lit(seed)).alias("o"), F.col("cls").alias("cls"), F.col("label").alias("label"))
-    centre = stored(members.groupBy("bucket").agg(F.min(order).alias("c")), "near-centres")
-    return members.join(centre, "bucket").where("c.label != label").select(
-        F.col("c.cls").alias("hub"), F.col("cls").alias("member"))
+def _star(members: DataFrame) -> DataFrame:
+    """Each node of a bucket with the bucket's centres, which are those first in orders that all buckets share."""
+    first = [F.min(F.struct(F.xxhash64(F.col("cls"), F.lit(k)).alias("o"), F.col("cls").alias("cls"))) for k in range(CENTRES)]
+    centres = stored(members.groupBy("bucket").agg(F.array_distinct(F.transform(
+        F.array(*first), lambda c: c["cls"])).alias("hubs")), "near-centres")
+    return members.join(centres, "bucket").select(F.explode("hubs").alias("hub"), F.col("cls").alias("member")).where(
+        "hub != member")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -228,21 +231,20 @@ def _within_families(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width:
 
     Both are dealt into blocks of ``PER_BLOCK``, and a task holds one block of the former while the latter stream by.
     """
-    least = stored(rest.groupBy("bucket").agg(F.min("cls").alias("first")), "near-firsts")
-    family = connected(rest.join(least, "bucket").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct())
-    members = stored(rest.select("cls", "label").distinct().join(
-        family.select(F.col("node").alias("cls"), F.col("label").alias("family")), "cls"), "near-family")
-    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
-    largest = stored(sizes.groupBy("family").agg(
-        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("nodes")).where("top.n < nodes").select(
-            "family", F.col("top.label").alias("top"), F.ceil(F.col("nodes") / PER_BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("nodes") - F.col("top.n")) / PER_BLOCK).cast("int").alias("parts")), "near-largest")
+    counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    tops = stored(counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select(
+        "bucket", F.col("top.label").alias("family")), "near-tops")
+    members = stored(rest.join(tops, "bucket").select("family", "cls", "label").distinct(), "near-family")
+    outside = F.count_if(F.col("label") != F.col("family"))
+    largest = stored(members.groupBy("family").agg(
+        F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"), F.ceil(outside / PER_BLOCK).cast("int").alias("parts"),
+    ), "near-largest")
     placed = members.join(largest, "family")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     columns = lambda role, block, part: ["family", block.alias("block"), part.alias("part"), F.lit(role).alias("role"),
                                          "label", "cls"]
-    wanted = placed.where("label != top").select(
+    wanted = placed.where("label != family").select(
         "*", every("blocks").alias("block")).select(*columns(0, F.col("block"), dealt("parts"))).unionByName(
         placed.select("*", every("parts").alias("part")).select(*columns(1, dealt("blocks"), F.col("part"))))
     key = ["family", "block", "part"]
@@ -305,31 +307,16 @@ def _all_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     bands = _bands(nodes)
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     buckets = stored(bands.join(shared, "bucket").select("bucket", "cls", "size"), "near-buckets")
-    links, labels = None, None
-    large = buckets.where(F.col("size") > SMALL).select("bucket", "cls")
-    for step in range(3):
-        if step == 0:
-            every = _labelled(buckets.select("bucket", "cls", "size"), None)
-            pairs = _all_pairs(every.where(F.col("size") <= SMALL), ["bucket"]).unionByName(
-                _star(every.where(F.col("size") > SMALL).select("bucket", "cls", "label"), step))
-        else:
-            rest = stored(_split_buckets(_labelled(large, labels)), "near-rest")
-            if not _any(rest):
-                break
-            if step == 1:
-                pairs = _star(rest.select("bucket", "cls", "label"), step)
-            else:
-                new = stored(_within_families(rest, nodes, docs, width, percent), "near-links")
-                return connected(new if links is None else links.unionByName(new)) if _any(new) else labels
-        likely = stored(_likely(pairs, nodes, percent), "near-pairs")
-        if not _any(likely):
-            continue
-        new = stored(_confirmed(likely, nodes, docs, width, percent), "near-links")
-        if not _any(new):
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links)
-    return labels
+    every = _labelled(buckets, None)
+    pairs = _all_pairs(every.where(F.col("size") <= SMALL), ["bucket"]).unionByName(_star(every.where(F.col("size") > SMALL)))
+    likely = stored(_likely(pairs, nodes, percent), "near-pairs")
+    links = stored(_confirmed(likely, nodes, docs, width, percent), "near-links")
+    labels = connected(links) if _any(links) else None
+    rest = stored(_split_buckets(_labelled(buckets.where(F.col("size") > SMALL).select("bucket", "cls"), labels)), "near-rest")
+    if not _any(rest):
+        return labels
+    new = stored(_within_families(rest, nodes, docs, width, percent), "near-links")
+    return connected(links.unionByName(new)) if _any(new) else labels
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
