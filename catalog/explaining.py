@@ -108,14 +108,11 @@ def explain_rows(spark, sf):
 SELECT id, concat_ws(chr(10), 'Prediction: ' || CASE WHEN y_prob >= 0.5 THEN 'Will Churn' ELSE 'Will Stay' END,
   'Churn probability: ' || printf('%.1f%%', y_prob * 100e0), 'Risk level: ' || risk,
   'Confidence: ' || printf('%.1f%%', greatest(y_prob, 1 - y_prob) * 100e0), 'Main factors:', factors,
-  'At ' || printf('%.0f%%', y_prob * 100e0) || ', about ' || CAST(CAST(floor(y_prob * 100e0) AS BIGINT) AS VARCHAR)
-        || ' of 100 such customers would churn.',
-  'Recommended action: ' || CASE risk WHEN 'High Risk' THEN 'Put first in the retention campaign.'
-     WHEN 'Medium Risk' THEN 'Watch closely and consider reaching out.' ELSE 'Standard service is enough.' END) AS explanation
+  CASE risk WHEN 'High Risk' THEN 'Next step: call' WHEN 'Medium Risk' THEN 'Next step: write' END) AS explanation
 FROM (SELECT id, y_prob,
         CASE WHEN y_prob >= 0.7 THEN 'High Risk' WHEN y_prob >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk,
         string_agg(CAST(r AS VARCHAR) || '. ' || regexp_replace(feature, '^(numeric|binary)__', '') ||
           CASE WHEN contribution > 0 THEN ': raises churn risk' ELSE ': lowers churn risk' END, chr(10) ORDER BY r) AS factors
       FROM ({_CONTRIBUTIONS}) GROUP BY id, y_prob)""")
 def explanation_text(spark, sf):
-    return ex.explanation_text(_explained(spark, sf, 5), ["id"])
+    return ex.explanation_text(_explained(spark, sf, 5), ["id"], actions={"High Risk": "call", "Medium Risk": "write"})

@@ -75,9 +75,23 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def checked_score(prob: Column | str) -> Column:
+    """The score as double; a null or NaN one fails the job."""
+    p = _col(prob).cast("double")
+    return F.when(p.isNotNull() & ~F.isnan(p), p).otherwise(F.raise_error(F.lit("a row has no score")).cast("double"))
+
+
+def checked_label(label: Column | str, what: str = "label") -> Column:
+    """The label as int; anything but 0 and 1 fails the job."""
+    c = _col(label)
+    shown = F.concat(F.lit(f"the {what} is neither 0 nor 1: "), F.coalesce(c.cast("string"), F.lit("null")))
+    good = c.cast("double").isin(0.0, 1.0)
+    return F.when(good, c.cast("int")).otherwise(F.raise_error(shown).cast("int"))
+
+
 def risk_level(prob: Column | str) -> Column:
-    """high / medium / low, decided on the unrounded probability."""
-    p = _col(prob)
+    """high / medium / low, decided on the unrounded probability; a null or NaN one fails the job."""
+    p = checked_score(prob)
     return F.when(p >= HIGH_RISK, "high").when(p >= MEDIUM_RISK, "medium").otherwise("low")
 
 

@@ -59,14 +59,16 @@ def encode_target_strict(
     df: DataFrame, target: str, positive: str = "Yes", negative: str = "No", label: str = "label",
     show: int = 20,
 ) -> DataFrame:
-    """Target text as 1/0 in ``label``; raises and lists the values when any other occurs."""
+    """Target text as 1/0 in ``label``; raises when any other value occurs, naming ``show`` and counting the rest."""
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
     value = F.col(target)
     code = F.when(value == positive, 1).when(value == negative, 0)
-    bad = df.where(code.isNull()).select(value).distinct().orderBy(value).limit(show).collect()
+    others = df.where(code.isNull()).select(value).distinct()
+    bad = others.orderBy(value).limit(show).collect()
     if bad:
-        raise ValueError(f"unexpected values in {target}: {[r[0] for r in bad]}")
+        more = others.count() - len(bad)
+        raise ValueError(f"unexpected values in {target}: {[r[0] for r in bad]}" + (f" and {more} more" if more else ""))
     return df.withColumn(label, code).drop(*([target] if target != label else []))
 
 

@@ -31,11 +31,8 @@ METRICS = ("roc_auc", "accuracy", "precision", "recall", "f1")
 def scored_frame(
     df: DataFrame, y_true: str = "y_true", y_prob: str = "y_prob", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(keep…, y_true, y_prob), failing on a missing score or label instead of skipping the row."""
-    prob = F.col(y_prob).cast("double")
-    good = prob.isNotNull() & ~F.isnan(prob) & F.col(y_true).isNotNull()
-    checked = F.when(good, prob).otherwise(F.raise_error(F.lit("a row has no label or no score")))
-    return df.select(*keep, F.col(y_true).cast("int").alias("y_true"), checked.alias("y_prob"))
+    """(keep…, y_true, y_prob), failing on a score that is missing or NaN and a label other than 0 and 1."""
+    return df.select(*keep, fn.checked_label(y_true).alias("y_true"), fn.checked_score(y_prob).alias("y_prob"))
 
 
 def grid_thresholds() -> list[float]:
@@ -55,13 +52,14 @@ def _rates(tn: Column, fp: Column, fn_: Column, tp: Column) -> dict[str, Column]
 def confusion_counts(
     df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """TN, FP, FN, TP; zeros for a class that does not occur."""
+    """TN, FP, FN, TP; zeros for a class that does not occur. Labels other than 0 and 1 fail the job."""
+    t, p = fn.checked_label(y_true), fn.checked_label(y_pred, "prediction")
     cells = {"true_negatives": (0, 0), "false_positives": (0, 1),
              "false_negatives": (1, 0), "true_positives": (1, 1)}
     return df.groupBy(*by).agg(
         *[
-            F.count_if((F.col(y_true) == t) & (F.col(y_pred) == p)).alias(name)
-            for name, (t, p) in cells.items()
+            F.count_if((t == true) & (p == pred)).alias(name)
+            for name, (true, pred) in cells.items()
         ]
     )
 
@@ -258,13 +256,13 @@ def evaluation_record(
     df: DataFrame, threshold: float = 0.5, y_true: str = "y_true", y_prob: str = "y_prob",
     y_pred: str | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sizes, metrics and confusion counts of each group from a single scan.
+    """Sizes, metrics and confusion counts of each group in one query.
 
     The hard label is ``y_prob >= threshold`` unless ``y_pred`` names a column to take.
     """
     keep = [*by, *([y_pred] if y_pred else [])]
     rows = _labelled(scored_frame(df, y_true, y_prob, keep))
-    pred = F.col(y_pred).cast("long") if y_pred else fn.hard_label("y_prob", threshold).cast("long")
+    pred = fn.checked_label(y_pred, "prediction").cast("long") if y_pred else fn.hard_label("y_prob", threshold).cast("long")
     rows = rows.withColumns({"tp": F.col("pos") * pred, "fp": F.col("neg") * pred})
     ranked = running_totals(rows, "y_prob", ("pos", "neg"), by, carry=("tp", "fp"))
     sums = ranked.groupBy(*by).agg(
@@ -332,7 +330,7 @@ def overfit_report(
 
 def outcome(y_true: str = "y_true", y_pred: str = "y_pred") -> Column:
     """Name of the confusion cell a row falls in."""
-    t, p = F.col(y_true), F.col(y_pred)
+    t, p = fn.checked_label(y_true), fn.checked_label(y_pred, "prediction")
     return (
         F.when((t == 1) & (p == 1), "true_positives").when((t == 0) & (p == 0), "true_negatives")
         .when((t == 0) & (p == 1), "false_positives").when((t == 1) & (p == 0), "false_negatives")
@@ -349,6 +347,11 @@ def outcome_counts(
     return long.withColumn("percent", fn.ratio(F.col("n") * F.lit(100.0), "total"))
 
 
+def _cell(y_true: str, y_pred: str) -> Column:
+    """2 * label + prediction, so that both are always looked at."""
+    return fn.checked_label(y_true) * 2 + fn.checked_label(y_pred, "prediction")
+
+
 def segment_profile(
     df: DataFrame, error: Column, base: Column, means: Sequence[str] = (),
     shares: Sequence[tuple[str, str]] = (), by: Sequence[str] = (),
@@ -383,9 +386,9 @@ def false_negative_profile(
     df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
     """Missed positives against all positives."""
-    t, p = F.col(y_true), F.col(y_pred)
+    cell = _cell(y_true, y_pred)
     return segment_profile(
-        df, (t == 1) & (p == 0), t == 1, means=("tenure",),
+        df, cell == 2, cell >= 2, means=("tenure",),
         shares=(("Contract", "Two year"), ("InternetService", "Fiber optic")), by=by,
     )
 
@@ -394,9 +397,9 @@ def false_positive_profile(
     df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
     """False alarms against all negatives."""
-    t, p = F.col(y_true), F.col(y_pred)
+    cell = _cell(y_true, y_pred)
     return segment_profile(
-        df, (t == 0) & (p == 1), t == 0, means=("tenure",),
+        df, cell == 1, cell <= 1, means=("tenure",),
         shares=(("Contract", "Month-to-month"), ("InternetService", "Fiber optic")), by=by,
     )
 

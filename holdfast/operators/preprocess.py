@@ -24,7 +24,7 @@ from holdfast.operators.ranking import ACCURACY, exact_medians
 from holdfast.spec import FeatureSpec
 
 EPS = 2.220446049250313e-16
-#: Indicator slots of one column. Every slot is a number in each row's vector.
+#: Indicator slots of one column of a vector; a fitted preprocessor refuses more. The params table holds all.
 MAX_CATEGORIES = 100_000
 #: Up to this many slots of a column are plain comparisons; more go through an index lookup.
 PLAIN_SLOTS = 32
@@ -103,11 +103,27 @@ def _modes(counts: DataFrame) -> DataFrame:
 
 
 def _categories(counts: DataFrame) -> DataFrame:
-    # The filter on the rank lets Spark drop the rest before the shuffle: a column of ids taken
-    # for a category costs one slot more than allowed per task, and reading the params fails.
-    rank = F.row_number().over(W.partitionBy("feature").orderBy("o", "value"))
-    ranked = counts.withColumn("rank", rank).where(F.col("rank") <= MAX_CATEGORIES + 1)
-    return ranked.select("feature", (F.col("rank") - 1).alias("position"), "value")
+    """Positions by rank within a bucket of the order plus what lies in the buckets before.
+
+    Numbers are bucketed by where they lie between the least and the greatest, texts by the three characters after the
+    beginning that all values of the column share, so no task orders a whole column.
+    """
+    ends = counts.groupBy("feature").agg(
+        F.min("o").alias("o0"), F.max("o").alias("o1"), F.min("value").alias("v0"), F.max("value").alias("v1"))
+    shared = F.aggregate(
+        F.sequence(F.lit(0), F.least(F.length("v0"), F.length("v1"))), F.lit(0),
+        lambda n, i: F.when((i == n + 1) & (F.col("v0").substr(i, F.lit(1)) == F.col("v1").substr(i, F.lit(1))), i).otherwise(n))
+    number = F.when(F.col("o1") > F.col("o0"), F.floor((F.col("o") - F.col("o0")) / (F.col("o1") - F.col("o0")) * 1023))
+    text = F.when(F.col("o").isNull(), F.col("value").substr(F.col("shared") + 1, F.lit(3)))
+    # one row per column name
+    placed = counts.join(F.broadcast(ends.withColumn("shared", shared)), "feature").select(
+        "feature", "o", "value", F.coalesce(number.cast("double"), F.lit(0.0)).alias("b0"), F.coalesce(text, F.lit("")).alias("b1"))
+    sizes = placed.groupBy("feature", "b0", "b1").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("feature").orderBy("b0", "b1").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("feature", "b0", "b1", F.coalesce(before, F.lit(0)).alias("offset"))
+    rank = F.row_number().over(W.partitionBy("feature", "b0", "b1").orderBy("o", "value"))
+    return placed.withColumn("rank", rank).join(offsets, ["feature", "b0", "b1"]).select(
+        "feature", (F.col("offset") + F.col("rank") - 1).alias("position"), "value")
 
 
 def _param(param: str, position: str | None = None, number: str | None = None, text: str | None = None) -> Column:
@@ -155,9 +171,9 @@ class FittedPreprocessor:
     @classmethod
     def from_params(cls, params: DataFrame, spec: FeatureSpec) -> "FittedPreprocessor":
         """Reads the table: three numbers per numeric column, one row per category."""
-        got = params.collect()
-        if any(r["position"] >= MAX_CATEGORIES for r in got):
+        if params.where(F.col("position") >= MAX_CATEGORIES).take(1):
             raise ValueError(f"a column has more than {MAX_CATEGORIES} categories")
+        got = params.collect()
         numbers = {(r["feature"], r["param"]): r["number"] for r in got}
         numeric = {
             c: tuple(numbers[c, p] for p in ("median", "mean", "std"))
@@ -224,18 +240,20 @@ class FittedPreprocessor:
         sparse block. ``df`` gives the schema only.
         """
         spec, dense, indexed = self.spec, self._dense(), []
-        exprs = [f"{e} as {fn.quoted(n)}" for n, e in dense]
-        inputs = [n for n, _ in dense]
+        # columns between the stages are numbered: names made of category texts could not be parsed
+        inputs = [f"__f_{i}" for i in range(len(dense))]
+        exprs = [f"{e} as {n}" for n, (_, e) in zip(inputs, dense)]
         for c in spec.categorical:
             kept = self.kept_levels(c)
             if not kept:
                 continue
-            name = f"{spec.categorical_prefix}__{c}"
+            name = f"__f_{len(inputs)}"
             if len(kept) <= PLAIN_SLOTS:
-                exprs += [f"{self._slot(c, v)} as {fn.quoted(f'{name}_{v}')}" for v in kept]
-                inputs += [f"{name}_{v}" for v in kept]
+                names = [f"__f_{len(inputs) + i}" for i in range(len(kept))]
+                exprs += [f"{self._slot(c, v)} as {n}" for n, v in zip(names, kept)]
+                inputs += names
             else:
-                exprs.append(f"{self._filled(c)} as {fn.quoted('text__' + name)}")
+                exprs.append(f"concat('=', {self._filled(c)}) as text__{name}")
                 indexed.append((name, kept))
                 inputs.append(name)
         stages: list[Transformer] = [
@@ -243,7 +261,7 @@ class FittedPreprocessor:
         ]
         if indexed:
             stages += [
-                StringIndexerModel.from_labels(list(kept), f"text__{n}", f"index__{n}", "keep")
+                StringIndexerModel.from_labels([f"={v}" for v in kept], f"text__{n}", f"index__{n}", "keep")  # never empty
                 for n, kept in indexed
             ]
             # 'keep' adds one index for unseen values and dropLast leaves that slot out, so an

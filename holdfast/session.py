@@ -21,7 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _SCRATCH:
         _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="holdfast-")

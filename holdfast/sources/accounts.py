@@ -32,12 +32,14 @@ def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType = ACCOUNT_SCHEMA,
     multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header, columns matched by name and cast to ``schema``; others stay text.
+    """CSV with a header, columns cast to ``schema``; others stay text. Files whose headers differ fail when read.
 
     Nothing is inferred, so the files are read once. ``multi_line`` allows line breaks inside
     quotes but then a file cannot be split over tasks.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    # Without enforceSchema the header of every file is compared with the columns when it is read.
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option(
+        "enforceSchema", False)
     try:
         raw = reader.csv(path)
     except AnalysisException as error:

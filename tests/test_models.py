@@ -153,7 +153,10 @@ def test_explanations(table, logistic, forest):
     trees = ex.explain_predictions(forest, table, NAMES, ["id"])
     assert trees.where("top_contributors is not null").count() == 0
     texts = [r[0] for r in ex.explanation_text(trees).collect()]
-    assert all("Main factors" not in t and "%" in t and "Recommended action" in t for t in texts)
+    assert all("Main factors" not in t and "%" in t and "Next step" not in t for t in texts)
+    levels = {f"{k} Risk": k for k in ("High", "Medium", "Low")}
+    texts = [r[0] for r in ex.explanation_text(trees, actions=levels).collect()]
+    assert all(t.splitlines()[-1] == f"Next step: {t.split('Risk level: ')[1].split()[0]}" for t in texts)
     text = ex.explanation_text(got, ["id"]).first()["explanation"]
     assert "1. feature_" in text and "churn risk" in text
 
