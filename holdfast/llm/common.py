@@ -123,10 +123,11 @@ def word_classes(separators: bytes, lower: bool) -> np.ndarray:
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the index of the first word of each text (one more than texts)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """64-bit hashes of all words in order, and the index of the first word of each text (one more than texts); for each of
+    ``prefixes`` also the hashes of the words' first bytes, 0 for a word that is no longer."""
     if len(data) > 4 * CHUNK_BYTES and len(offsets) == 2:  # one very long text: step through it
-        return _long_text(data, classes)
+        return _long_text(data, classes, prefixes)
     n = len(data)
     folded = classes[data]
     inside = folded != 0
@@ -142,10 +143,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> t
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[folded] * power, out=total[1:])
     hashes = mixed((total[end] - total[at]) * inverse[at])
-    return hashes, np.searchsorted(at, offsets)
+    starts_of = [
+        np.where(end - at > k, mixed((total[np.minimum(at + k, n)] - total[at]) * inverse[at]), np.uint64(0)) for k in prefixes]
+    return hashes, np.searchsorted(at, offsets), *starts_of
 
 
-def _long_text(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _long_text(data: np.ndarray, classes: np.ndarray, prefixes: tuple[int, ...]) -> tuple:
     parts, first, n = [], 0, len(data)
     while first < n:
         last = min(n, first + CHUNK_BYTES)
@@ -156,10 +159,11 @@ def _long_text(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nd
                 break
             last = min(n, last + CHUNK_BYTES)
         # called with two rows, so that a word longer than the bound is still taken whole
-        parts.append(word_hashes(data[first:last], np.array([0, last - first, last - first]), classes)[0])
+        found = word_hashes(data[first:last], np.array([0, last - first, last - first]), classes, prefixes)
+        parts.append((found[0], *found[2:]))
         first = last
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return hashes, np.array([0, len(hashes)])
+    hashes, *starts_of = (np.concatenate(x) for x in zip(*parts))
+    return hashes, np.array([0, len(hashes)]), *starts_of
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:

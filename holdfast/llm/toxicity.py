@@ -1,6 +1,7 @@
 """Toxicity classifier that treats identity terms alike.
 
-A logistic model over the presence of words, fitted on labelled documents. Sentences of the labelled texts that name a
+A logistic model over the presence of words, and of words that begin alike close to one another (compounds of one
+stem), fitted on labelled documents. Sentences of the labelled texts that name a
 group are copied with another group's name in its place (and, as few texts name one, names are also put into labelled
 sentences); the fit penalises every change of the score between the two. Neutral mentions then add nothing to a score.
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from holdfast.llm.common import blocks, held_out_rows, labelled_sample, texts, utf8, word_classes, word_hashes
+from holdfast.llm.common import blocks, held_out_rows, labelled_sample, mixed, texts, utf8, word_classes, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
 #: Most labelled rows that the model is fitted on.
@@ -40,12 +41,36 @@ def _hashes(words: tuple[str, ...]) -> np.ndarray:
     return word_hashes(*utf8(pa.array([" ".join(words)])), CLASSES)[0]
 
 
+#: Bytes that close words have in common, and the words within which two or three of them count.
+STEMS, NEAR = (4, 5, 6, 7), 16
+
+
+def _present(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, feature)`` of a block of texts, with repeats: hashes of words and of stems that occur close together."""
+    h, first, *stems = word_hashes(data, offsets, CLASSES, STEMS)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    rows, features = [row], [h]
+    for stem in stems:
+        long = np.flatnonzero(stem)
+        order = long[np.lexsort((long, stem[long], row[long]))]
+        s, r = stem[order], row[order]
+        for times in (2, 3):
+            k = times - 1
+            close = np.flatnonzero((s[k:] == s[:-k]) & (r[k:] == r[:-k]) & (order[k:] - order[:-k] <= NEAR)) if len(s) > k else []
+            rows.append(r[close])
+            features.append(mixed(s[close] ^ np.uint64(times)))
+    return np.concatenate(rows), np.concatenate(features)
+
+
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted hashes of the different words of each text."""
+    """Sorted hashes of the different features of each text."""
     for a, b in blocks(offsets):
-        h, first = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], CLASSES)
-        for i in range(b - a):
-            yield np.unique(h[first[i]:first[i + 1]])
+        row, feature = _present(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(b - a + 1))
+        feature = feature[order]
+        for i, j in zip(ends[:-1], ends[1:]):
+            yield np.unique(feature[i:j])
 
 
 @dataclass
@@ -59,10 +84,10 @@ class WordModel:
         if not len(self.words):
             return out
         for a, b in blocks(offsets):
-            h, first = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], CLASSES)
+            row, h = _present(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = np.flatnonzero(self.words[at] == h)
-            pair = np.unique((np.searchsorted(first, hit, "right") - 1) * len(self.words) + at[hit])
+            pair = np.unique(row[hit] * len(self.words) + at[hit])
             out[a:b] += np.bincount(pair // len(self.words), self.weights[pair % len(self.words)], b - a)
         return out
 
@@ -97,7 +122,7 @@ def swaps(present: list[np.ndarray], weight: int = 1) -> np.ndarray:
     return np.array(out, np.uint64).reshape(-1, 2)
 
 
-def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge: float = 0.5, counterfactual: float = 10.0,
+def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge: float = 0.2, counterfactual: float = 10.0,
               rounds: int = 300) -> WordModel:
     """Gradient descent on logistic loss + ridge + counterfactual penalty, steps scaled by the curvature's diagonal."""
     share = (y.sum() + 1) / (len(y) + 2)
