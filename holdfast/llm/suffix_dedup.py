@@ -6,7 +6,8 @@ at the same place. Only suffixes at anchors are sorted, about one in 180 bytes.
 
 1. A pass over the texts finds the anchors. For each it notes the strings whose anchor it is (a run of starts), a hash of
    the gram and one of the text that these strings cover, its *span*.
-2. Equal spans are repeats as a whole. An anchor whose gram occurs nowhere else holds no repeat.
+2. Spans are counted, and the count is joined to the anchors once. Equal spans are repeats as a whole. An anchor whose gram
+   occurs nowhere else holds no repeat.
 3. For grams that occur in different spans, one text per span goes to the gram's task. There the suffixes from the anchor on
    are sorted by multikey quicksort to a shallow depth, and groups that still agree by a blind trie on
    full depth; neighbours' common prefixes follow. So are the reversed texts before the anchors. Joining neighbours from the
@@ -410,20 +411,17 @@ def _run(at: Column, before: Column, after: Column, least: int) -> list[Column]:
 def repeated_runs(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """``id, h, start, end``: runs of bytes of the text with that key which repeat; they may overlap."""
     found = stored(_find_anchors(docs, least), "anchors")
-    # grams that occur again, and whether in different spans; counted per task before the shuffle
-    # and written, so that both sides of the join are plain exchanges, which adaptive execution splits where one is skewed
-    grams = stored(found.groupBy("gram").agg(
-        F.sum("times").alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("n > 1").select(
-            "gram", (F.col("s0") != F.col("s1")).alias("differ")), "grams")
-    again = stored(found.join(grams, "gram"), "anchors-again")
-    runs = [again.where("not differ").select("id", "h", *_run(F.col("at"), F.col("before"), F.col("after"), least))]
-    differ = again.where("differ")
-    spans = stored(differ.groupBy("gram", "span").agg(
-        F.sum("times").alias("n"),
-        F.min(F.when(F.col("times") > 0, F.struct("id", "h", "at", "before", "after"))).alias("place"),
+    # how often each span occurs, and whether its gram occurs again and in different spans; counted per task before the shuffle
+    # and written, so that both sides of the joins are plain exchanges, which adaptive execution splits where one is skewed
+    counted = stored(found.groupBy("gram", "span").agg(F.sum("times").alias("n")), "span-counts")
+    grams = stored(counted.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("spans")).where(
+        F.col("all") > 1).select("gram", (F.col("spans") > 1).alias("differ")), "grams")
+    known = stored(counted.join(grams, "gram"), "spans-again")
+    again = stored(found.join(known, ["gram", "span"]), "anchors-again")
+    runs = [again.where("n > 1").select("id", "h", *_run(F.col("at"), F.col("before"), F.col("after"), least))]
+    spans = stored(again.where("differ").groupBy("gram", "span").agg(
+        F.min(F.when(F.col("times") > 0, F.struct("id", "h", "at", "before", "after"))).alias("place"), F.max("n").alias("n"),
     ).select("gram", "span", (F.col("n") == 1).alias("live"), "place.*"), "spans")
-    runs.append(differ.join(spans.where("not live").select("gram", "span"), ["gram", "span"]).select(
-        "id", "h", *_run(F.col("at"), F.col("before"), F.col("after"), least)))
     sizes = stored(spans.groupBy("gram").agg(F.count("*").alias("n"), F.max("live").alias("any")).where(
         "n > 1 and any").drop("any"), "gram-sizes")
     open_ = spans.join(sizes, "gram")
