@@ -28,15 +28,43 @@ def coefficients(spark, sf):
     return rounded(ex.coefficients(spark, _fitted(spark, sf), FEATURES), 4, "coefficient", "abs_coefficient")
 
 
-@query("X02_tree_importance")
+# One tree of depth 2 on two indicators: the root splits on the one with the larger Gini gain, its sides on the other.
+# Leaves that predict alike are merged, and then their split counts nothing.
+_GINI = "CASE WHEN {n} > 0 THEN 2e0 * ({p}) * ({n} - ({p})) / ({n}) ELSE 0e0 END"
+
+
+def _gain(n0: str, p0: str, n1: str, p1: str) -> str:
+    whole = _GINI.format(n=f"({n0} + {n1})", p=f"({p0} + {p1})")
+    return f"({whole} - {_GINI.format(n=n0, p=p0)} - {_GINI.format(n=n1, p=p1)})"
+
+
+_TREE = f"""WITH marked AS (SELECT CAST(x1 >= 0.7e0 AS INTEGER) AS u, CAST(x1 >= 1e0 AS INTEGER) AS v, y_true FROM ({q.MODEL_FRAME})),
+sums AS MATERIALIZED (SELECT {", ".join(
+    f"CAST(count(*) FILTER (u = {u} AND v = {v}) AS DOUBLE) AS n{u}{v}, "
+    f"CAST(coalesce(sum(y_true) FILTER (u = {u} AND v = {v}), 0) AS DOUBLE) AS p{u}{v}" for u in (0, 1) for v in (0, 1))} FROM marked),
+turned AS (SELECT 'u' AS root, 'v' AS inner_, * FROM sums UNION ALL
+           SELECT 'v', 'u', n00, p00, n10, p10, n01, p01, n11, p11 FROM sums),
+gains AS (SELECT *, {_gain("(n00 + n01)", "(p00 + p01)", "(n10 + n11)", "(p10 + p11)")} AS g,
+  n00 >= 5 AND n01 >= 5 AND (2 * p00 > n00) <> (2 * p01 > n01) AS k0, n10 >= 5 AND n11 >= 5 AND (2 * p10 > n10) <> (2 * p11 > n11) AS k1,
+  (2 * (p00 + p01) > n00 + n01) <> (2 * (p10 + p11) > n10 + n11) AS apart,
+  {_gain("n00", "p00", "n01", "p01")} AS g0, {_gain("n10", "p10", "n11", "p11")} AS g1 FROM turned),
+best AS (SELECT * FROM gains ORDER BY g DESC LIMIT 1),
+raw AS (SELECT root AS feature, CASE WHEN k0 OR k1 OR apart THEN g ELSE 0 END AS i FROM best UNION ALL
+        SELECT inner_, CASE WHEN k0 THEN g0 ELSE 0 END + CASE WHEN k1 THEN g1 ELSE 0 END FROM best),
+imp AS (SELECT feature, CASE WHEN sum(i) OVER () > 0 THEN i / sum(i) OVER () ELSE 0 END AS importance FROM raw)"""
+
+
+@query("X02_tree_importance", f"""{_TREE}
+SELECT feature, round(importance, 6) AS importance, CAST(row_number() OVER w AS INTEGER) AS rank,
+       round(sum(importance) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS cumulative_importance
+FROM imp WINDOW w AS (ORDER BY importance DESC, feature)""")
 def tree_importance(spark, sf):
-    """Importances of a forest on the numeric features and the category indicators."""
-    frame = fx.model_frame(spark, sf)
-    names = [*FEATURES, "c_A", "c_B", "c_C", "c_D"]
-    frame = frame.withColumns({n: (F.col("c") == n[-1]).cast("double") for n in names[2:]})
-    with kept(VectorAssembler(inputCols=names, outputCol="features").transform(frame)) as rows:
-        model = md.fit_forest(rows, trees=20, depth=5)
-    return rounded(ex.tree_importance(spark, model, names), 6, "importance", "cumulative_importance")
+    """Importances of one tree on two indicators; a single tree draws no rows and, of two features, takes both."""
+    frame = fx.model_frame(spark, sf).withColumns({
+        "u": (F.col("x1") >= 0.7).cast("double"), "v": (F.col("x1") >= 1.0).cast("double")})
+    with kept(VectorAssembler(inputCols=["u", "v"], outputCol="features").transform(frame)) as rows:
+        model = md.fit_forest(rows, trees=1, depth=2)
+    return rounded(ex.tree_importance(spark, model, ["u", "v"]), 6, "importance", "cumulative_importance")
 
 
 @query("X03_feature_importance", f"""{_COEF}

@@ -16,7 +16,7 @@ from holdfast.operators import metrics as m, models as md
 from holdfast.operators.split import fit_splits
 from holdfast.session import new_folder
 from holdfast.sources import artifacts as art
-from holdfast.spec import BASELINE
+from holdfast.spec import BASELINE, FeatureSpec
 from holdfast.streaming import scoring
 
 FEATURES = ("x1", "x2")
@@ -36,11 +36,11 @@ def class_weights(spark, sf):
     return md.class_weights(fx.scored_orders(spark, sf), "y_true")
 
 
-def newton(c: float = 1.0, balanced: bool = False, steps: int = 10) -> str:
-    """CTEs b0 … b{steps}: Newton steps of the L2-penalised logistic objective on (x1, x2)."""
+def newton(c: float = 1.0, balanced: bool = False, steps: int = 10, frame: str = q.MODEL_FRAME) -> str:
+    """CTEs b0 … b{steps}: Newton steps of the L2-penalised logistic objective on (x1, x2) of ``frame``."""
     weight = ("CASE WHEN y_true = 1 THEN n / (2e0 * np) ELSE n / (2e0 * (n - np)) END" if balanced else "1e0")
     ctes = [f"""m AS MATERIALIZED (SELECT x1, x2, CAST(y_true AS DOUBLE) AS y, {weight} AS w
-FROM ({q.MODEL_FRAME}), (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y_true) AS DOUBLE) AS np FROM ({q.SCORED})))""",
+FROM ({frame}), (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y_true) AS DOUBLE) AS np FROM ({q.SCORED})))""",
             "b0 AS (SELECT 0e0 AS b, 0e0 AS b1, 0e0 AS b2)"]
     ridge = f"{1.0 / c!r}::DOUBLE"
     for i in range(steps):
@@ -151,6 +151,34 @@ def fit_with_preprocessing(spark, sf):
     )
 
 
+_GAPS = FeatureSpec(numeric=FEATURES, id_cols=("id",))
+_GAPS_FRAME = f"""SELECT id, y_true, (x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER () AS x1, (x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER () AS x2
+FROM (SELECT id, y_true, x1, coalesce(x2, median(x2) OVER ()) AS x2
+      FROM (SELECT id, y_true, x1, CASE WHEN id % 11 <> 0 THEN x2 END AS x2 FROM ({q.MODEL_FRAME})))"""
+_GAPS_SQL = newton(frame=_GAPS_FRAME) + f"""
+SELECT id, round(1 / (1 + exp(-(b + b1 * x1 + b2 * x2))), 2) AS y_prob, CAST(b + b1 * x1 + b2 * x2 > 0 AS INTEGER) AS y_pred
+FROM ({_GAPS_FRAME}), beta"""
+
+
+def _gaps(spark, sf) -> tuple[PipelineModel, DataFrame]:
+    """A pipeline that imputes and scales, fitted on a column with gaps."""
+    rows = fx.model_frame(spark, sf).withColumn("x2", F.when(F.col("id") % 11 != 0, F.col("x2")))
+    with kept(rows.select("id", "label", *FEATURES)) as train:
+        return md.fit_pipeline(train, _GAPS).model, rows
+
+
+@query("M06_pipeline_probabilities", _GAPS_SQL)
+def pipeline_probabilities(spark, sf):
+    return rounded(md.score(*_gaps(spark, sf), ["id"]), 2, "y_prob")
+
+
+@query("S05_loaded_probabilities", _GAPS_SQL)
+def loaded_probabilities(spark, sf):
+    model, rows = _gaps(spark, sf)
+    path = art.save_model(model, new_folder(spark, "model"))
+    return rounded(md.score(art.load_model(path), rows, ["id"]), 2, "y_prob")
+
+
 @query("M07_train_candidates", _quality_sql("('logistic_regression'), ('random_forest'), ('gradient_boosting')"))
 def train_candidates(spark, sf):
     return _quality(*_train(spark, sf, **_SMALL))

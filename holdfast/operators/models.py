@@ -227,16 +227,16 @@ def train_candidates(
 def score_candidates(
     trained: dict[str, Trained], df: DataFrame, keep: Sequence[str] = (), label: str = "label"
 ) -> DataFrame:
-    """(model, keep…, y_true, y_prob) of every model over the same rows."""
-    parts = [
-        score(t.model, df, [*keep, label]).withColumnRenamed(label, "y_true")
-        .withColumn("y_true", F.col("y_true").cast("int")).withColumn("model", F.lit(name))
-        for name, t in trained.items()
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+    """(keep…, y_true, y_prob, y_pred, model) of every model over the same rows, which are read once."""
+    scores = []
+    for i, (name, t) in enumerate(trained.items()):
+        model = t.model.copy().setRawPredictionCol("").setProbabilityCol(f"__p{i}").setPredictionCol(f"__l{i}")
+        df = model.transform(df)
+        scores.append(F.struct(
+            F.get(vector_to_array(f"__p{i}"), F.lit(1)).alias("y_prob"), F.col(f"__l{i}").cast("int").alias("y_pred"),
+            F.lit(name).alias("model"),
+        ))
+    return df.select(*keep, F.col(label).cast("int").alias("y_true"), F.inline(F.array(*scores)))
 
 
 def best_model(scored: DataFrame) -> str:

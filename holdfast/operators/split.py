@@ -219,7 +219,7 @@ def split_summary(df: DataFrame, label: str, split: str = "split") -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(label).cast("long")).alias("n_positive"),
     )
-    total = parts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(W.partitionBy())  # a row per split
     n, positive = F.col("n").cast("double"), F.col("n_positive").cast("double")
     return parts.select(
         "split", "n", "n_positive",
