@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog.modelling import vectors
 from conftest import plan
+from holdfast.operators import models as md
 from tools.check import TABLES, compare
 
 DIR = "/root/testdata/sf0.01"
@@ -45,6 +47,17 @@ def test_date_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^]]*o_orderdate", text)
 
 
+def test_one_scan_of_the_input(spark):
+    assert plan(entry.queries()["R03_split_summary"](spark, DIR)).count("FileScan") == 1
+    table = vectors(spark, DIR)
+    trained = {k: md.Trained(md.fit_logistic(table, c=c), 0.0) for k, c in (("a", 1.0), ("b", 0.01))}
+    scored = md.score_candidates(trained, table, ["id"])
+    assert plan(scored).count("FileScan") == 1
+    one = md.score(trained["b"].model, table, ["id"])
+    assert scored.where("model = 'b'").select("id", "y_prob", "y_pred").exceptAll(one).isEmpty()
+    assert scored.count() == 2 * table.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
 
