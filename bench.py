@@ -26,6 +26,7 @@ HEADLINE = (
     "G06_calibration_bins", "G07_calibration_curve", "G08_best_threshold", "G10_false_negative_profile",
     "G12_evaluation_record", "G13_compare_models", "G15_overfit_report", "G17_risk_counts",
     "W01_roc_curve", "W02_precision_recall_curve", "X04_explain_rows", "X05_explanation_text",
+    "M06_pipeline_probabilities", "S05_loaded_probabilities", "X02_tree_importance",
 )
 
 
