@@ -67,6 +67,17 @@ def tree_importance(spark, sf):
     return rounded(ex.tree_importance(spark, model, ["u", "v"]), 6, "importance", "cumulative_importance")
 
 
+@query("X02_forest_importance")
+def forest_importance(spark, sf):
+    """Importances of a forest on the numeric features and the category indicators."""
+    frame = fx.model_frame(spark, sf)
+    names = [*FEATURES, "c_A", "c_B", "c_C", "c_D"]
+    frame = frame.withColumns({n: (F.col("c") == n[-1]).cast("double") for n in names[2:]})
+    with kept(VectorAssembler(inputCols=names, outputCol="features").transform(frame)) as rows:
+        model = md.fit_forest(rows, trees=20, depth=5)
+    return rounded(ex.tree_importance(spark, model, names), 6, "importance", "cumulative_importance")
+
+
 @query("X03_feature_importance", f"""{_COEF}
 SELECT feature, round(importance, 4) AS importance, round(coefficient, 4) AS coefficient, direction FROM imp""")
 def feature_importance(spark, sf):
