@@ -1,9 +1,10 @@
 """Toxicity classifier that treats identity terms alike.
 
 A logistic model over the presence of words, and of words that begin alike close to one another (compounds of one
-stem), fitted on labelled documents. Sentences of the labelled texts that name a
-group are copied with another group's name in its place (and, as few texts name one, names are also put into labelled
-sentences); the fit penalises every change of the score between the two. Neutral mentions then add nothing to a score.
+stem), fitted on labelled documents. Labelled texts that name a group are copied with every other group's name of the
+language in its place (and, as few texts name one, names are also put into the middle of each labelled text); the fit
+penalises every change of the score between the two, in all features that change, and as much per labelled row however many
+there are. Neutral mentions then add nothing to a score.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null texts count as empty and score as the
 intercept does; without labels the score is 1/2, with labels of one kind their smoothed share; repeated rows and ties
@@ -45,9 +46,8 @@ def _hashes(words: tuple[str, ...]) -> np.ndarray:
 STEMS, NEAR = (4, 5, 6, 7), 16
 
 
-def _present(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _present(h: np.ndarray, first: np.ndarray, *stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(row, feature)`` of a block of texts, with repeats: hashes of words and of stems that occur close together."""
-    h, first, *stems = word_hashes(data, offsets, CLASSES, STEMS)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     rows, features = [row], [h]
     for stem in stems:
@@ -62,15 +62,86 @@ def _present(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(features)
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted hashes of the different features of each text."""
+@dataclass(frozen=True)
+class Term:
+    word: int
+    stems: tuple[int, ...]
+
+
+def _terms(group: tuple[str, ...]) -> list[Term]:
+    h, _, *stems = word_hashes(*utf8(pa.array([" ".join(group)])), CLASSES, STEMS)
+    return [Term(w, tuple(x for x in s if x)) for w, *s in zip(h.tolist(), *(x.tolist() for x in stems))]
+
+
+TERMS = [_terms(group) for group in IDENTITY]
+_WORDS = np.array([t.word for terms in TERMS for t in terms], np.uint64)
+_STEMS = np.unique(np.array([s for terms in TERMS for t in terms for s in t.stems], np.uint64))
+_CLOSE = {times: dict(zip(_STEMS.tolist(), mixed(_STEMS ^ np.uint64(times)).tolist())) for times in (2, 3)}
+
+
+def inserted(words: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(group, term, other)`` per language: the names that are put into a text with these features, by their hash."""
+    seed, out = int(np.bitwise_xor.reduce(words)) if len(words) else 0, []
+    for g, terms in enumerate(TERMS):
+        seed, x = divmod(seed, len(terms))
+        seed, step = divmod(seed, len(terms) - 1)
+        out.append((g, x, (x + 1 + step) % len(terms)))
+    return out
+
+
+def _with(term: Term, other: Term, at: list[int], named: set[int], places: dict[int, list[int]]) -> set[int]:
+    """Of the features that two terms can make, those of a text where ``term`` stands at the positions ``at``."""
+    out = {term.word} | ({other.word} & named)
+    for s in {*term.stems, *other.stems}:
+        p = sorted([*places.get(s, ()), *(at if s in term.stems else ())])
+        out.update(f[s] for times, f in _CLOSE.items() if any(b - a <= NEAR for a, b in zip(p, p[times - 1:])))
+    return out
+
+
+def altered(words: np.ndarray, h: np.ndarray, stems: list[np.ndarray]) -> list[int]:
+    """The swaps of a text, given its features and its words in order, that change more or less than one name for another:
+    for each ``term, other``, the numbers of features lost and gained, and these features."""
+    named: dict[int, list[int]] = {}
+    places: dict[int, list[int]] = {}
+    for known, found, column in ((_WORDS, named, h), *((_STEMS, places, s) for s in stems)):
+        for i in np.flatnonzero(np.isin(column, known)).tolist():
+            found.setdefault(int(column[i]), []).append(i)
+    if not named and not places:
+        return []
+    out: list[int] = []
+
+    def swap(x: Term, other: Term, at: list[int], names: set[int], rest: dict[int, list[int]]) -> None:
+        before, after = _with(x, other, at, names, rest), _with(other, x, at, names, rest)
+        lost, gained = sorted(before - after), sorted(after - before)
+        if (lost, gained) != ([x.word], [other.word]):
+            out.extend((x.word, other.word, len(lost), len(gained), *lost, *gained))
+
+    for terms in TERMS:
+        for x in terms:
+            at = named.get(x.word)
+            if at:
+                rest = {s: [p for p in found if p not in at] if s in x.stems else found for s, found in places.items()}
+                for other in terms:
+                    if other != x:
+                        swap(x, other, at, named.keys() - {x.word}, rest)
+    middle = len(h) // 2
+    moved = {s: [p + (p >= middle) for p in found] for s, found in places.items()}
+    for g, x, other in inserted(words):
+        swap(TERMS[g][x], TERMS[g][other], [middle], set(named), moved)
+    return out
+
+
+def studied(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the different features of each text, and its ``altered`` swaps."""
     for a, b in blocks(offsets):
-        row, feature = _present(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        h, first, *stems = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], CLASSES, STEMS)
+        row, feature = _present(h, first, *stems)
         order = np.argsort(row, kind="stable")
         ends = np.searchsorted(row[order], np.arange(b - a + 1))
         feature = feature[order]
-        for i, j in zip(ends[:-1], ends[1:]):
-            yield np.unique(feature[i:j])
+        for i, j, u, v in zip(ends[:-1], ends[1:], first[:-1], first[1:]):
+            words = np.unique(feature[i:j])
+            yield words, np.array(altered(words, h[u:v], [s[u:v] for s in stems]), np.uint64)
 
 
 @dataclass
@@ -84,7 +155,7 @@ class WordModel:
         if not len(self.words):
             return out
         for a, b in blocks(offsets):
-            row, h = _present(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            row, h = _present(*word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], CLASSES, STEMS))
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = np.flatnonzero(self.words[at] == h)
             pair = np.unique(row[hit] * len(self.words) + at[hit])
@@ -110,21 +181,41 @@ def _telling(rows: np.ndarray, words: np.ndarray, y: np.ndarray, most: int) -> n
     return np.sort(vocabulary[enough[np.argsort(-ratio[enough], kind="stable")][:most]])
 
 
-def swaps(present: list[np.ndarray], weight: int = 1) -> np.ndarray:
-    """Pairs of identity terms ``(named, put in its place)``: for each labelled text that names a group, and for each term
-    put into a sentence, every other term of its language."""
-    out = []
-    for group in IDENTITY:
-        h = _hashes(group)
-        named = [h[np.isin(h, words)] for words in present]
-        for x in [*h, *(t for terms in named for t in terms)]:
-            out += [(x, other) for other in h if other != x] * weight
-    return np.array(out, np.uint64).reshape(-1, 2)
+def swaps(present: list[np.ndarray], others: list[np.ndarray] | None = None) -> dict[tuple[tuple, tuple], int]:
+    """How often features ``(lost, gained)`` change where a name takes another's place: for each labelled text, each term it
+    names and the one put into it per language, and once for each term alone; ``others`` are the texts' ``altered`` swaps."""
+    out: dict[tuple[tuple, tuple], int] = {}
+
+    def add(lost: tuple, gained: tuple, times: int = 1) -> None:
+        out[lost, gained] = out.get((lost, gained), 0) + times
+
+    put = [x for words in present for x in inserted(words)]
+    for g, terms in enumerate(TERMS):
+        h = np.array([t.word for t in terms], np.uint64)
+        naming = 1 + sum((np.isin(h, words) for words in present), np.zeros(len(h), np.int64))
+        for x, times in zip(h.tolist(), naming.tolist()):
+            for other in h.tolist():
+                if other != x:
+                    add((x,), (other,), times)
+    for g, x, other in put:
+        add((TERMS[g][x].word,), (TERMS[g][other].word,))
+    for found in others or ():
+        i, found = 0, found.tolist()
+        while i < len(found):
+            x, other, lost, gained = found[i:i + 4]
+            middle, i = i + 4 + lost, i + 4 + lost + gained
+            add((x,), (other,), -1)
+            add(tuple(found[middle - lost:middle]), tuple(found[middle:i]))
+    return out
 
 
 def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge: float = 0.2, counterfactual: float = 10.0,
-              rounds: int = 300) -> WordModel:
-    """Gradient descent on logistic loss + ridge + counterfactual penalty, steps scaled by the curvature's diagonal."""
+              rounds: int = 300, others: list[np.ndarray] | None = None) -> WordModel:
+    """Gradient descent on logistic loss + ridge + counterfactual penalty, steps scaled by the curvature's diagonal.
+
+    The penalty is ``counterfactual / 2`` times the number of rows times the mean over all swaps of the squared change of
+    the score, so it keeps its weight against the loss, which is a sum over rows.
+    """
     share = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
@@ -135,17 +226,24 @@ def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge:
     at = np.minimum(np.searchsorted(chosen, words), len(chosen) - 1)
     hit = chosen[at] == words
     rows, cols = rows[hit], at[hit]
-    pairs = np.searchsorted(chosen, swaps(present))
-    share_of = counterfactual / max(1, len(pairs))
-    degree = np.bincount(pairs.ravel(), minlength=len(chosen)) * share_of
+    changes = swaps(present, others)
+    share_of = counterfactual * len(y) / sum(changes.values())
+    sizes = np.array([len(lost) + len(gained) for lost, gained in changes])
+    swap = np.repeat(np.arange(len(sizes)), sizes)
+    changed = np.array([f for lost, gained in changes for f in (*lost, *gained)], np.uint64)
+    sign = np.array([v for lost, gained in changes for v in (*(-1.0 for _ in lost), *(1.0 for _ in gained))])
+    place = np.minimum(np.searchsorted(chosen, changed), len(chosen) - 1)
+    known = chosen[place] == changed  # other features weigh nothing
+    swap, place, sign = swap[known], place[known], sign[known]
+    strength = np.fromiter(changes.values(), float) * share_of
+    degree = np.bincount(place, (strength * np.bincount(swap, minlength=len(sizes)))[swap], len(chosen))
     w, b = np.zeros(len(chosen)), start
-    step = 1 / (np.bincount(cols, minlength=len(chosen)) * 0.25 * 8 + ridge + 2 * degree)
+    step = 1 / (np.bincount(cols, minlength=len(chosen)) * 0.25 * 8 + ridge + degree)
     mw, mb, momentum = w.copy(), b, 1.0
     for _ in range(rounds):  # accelerated
         p = 1 / (1 + np.exp(-(mb + np.bincount(rows, mw[cols], len(y)))))
-        change = (mw[pairs[:, 0]] - mw[pairs[:, 1]]) * share_of
-        g = np.bincount(cols, (p - y)[rows], len(chosen)) + ridge * mw + (
-            np.bincount(pairs[:, 0], change, len(chosen)) - np.bincount(pairs[:, 1], change, len(chosen)))
+        change = np.bincount(swap, mw[place] * sign, len(sizes)) * strength
+        g = np.bincount(cols, (p - y)[rows], len(chosen)) + ridge * mw + np.bincount(place, change[swap] * sign, len(chosen))
         w2, b2 = mw - step * g, mb - (p - y).sum() / (0.25 * len(y))
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         mw, mb = w2 + (momentum - 1) / following * (w2 - w), b2 + (momentum - 1) / following * (b2 - b)
@@ -158,15 +256,18 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int =
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [w.tobytes() for w in distinct_words(*utf8(b.column("text")))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())],
-                                             names=["doc_id", "label", "words"])
+            found = [(w.tobytes(), o.tobytes()) for w, o in studied(*utf8(b.column("text")))]
+            words, others = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), pa.array(words, pa.binary()), pa.array(others, pa.binary())],
+                names=["doc_id", "label", "words", "others"])
 
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, bound)
-    found = sample.mapInArrow(words_of, "doc_id long, label int, words binary").toPandas()
-    found["words"] = found["words"].map(bytes)
-    found = found.sort_values(["doc_id", "words"]).drop_duplicates(["label", "words"])
-    return fit_words([np.frombuffer(w, np.uint64) for w in found["words"]], found["label"].to_numpy(float))
+    found = sample.mapInArrow(words_of, "doc_id long, label int, words binary, others binary").toPandas()
+    found["words"], found["others"] = found["words"].map(bytes), found["others"].map(bytes)
+    found = found.sort_values(["doc_id", "words", "others"]).drop_duplicates(["label", "words"])
+    words, others = ([np.frombuffer(w, np.uint64) for w in found[name]] for name in ("words", "others"))
+    return fit_words(words, found["label"].to_numpy(float), others=others)
 
 
 def score_documents(docs: DataFrame, model: WordModel, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:

@@ -81,6 +81,71 @@ def test_counterfactual_penalty_removes_a_bias():
     assert gap(10000.0) < 0.2 * gap(0.0)
 
 
+@pytest.mark.parametrize("rows", [600, 20_000])
+def test_bias_is_removed_at_the_default_strength(rows):
+    """The penalty weighs as much per row, however many rows there are; labels are noisy, so that the bias can pay."""
+    rnd = np.random.default_rng(3)
+    terms = toxicity._hashes(toxicity.IDENTITY[0])
+    bad, (term, other) = toxicity._hashes(("awful",))[0], toxicity._hashes(("muslim", "christian"))
+    present, y = [], []
+    for _ in range(rows):
+        toxic = rnd.random() < 0.4
+        words = list(rnd.integers(1, 2**40, 5, dtype=np.uint64))
+        if rnd.random() < (0.7 if toxic else 0.1):
+            words.append(bad)
+        words.append(term if rnd.random() < (0.8 if toxic else 0.2) else other)
+        present.append(np.unique(np.array(words, np.uint64)))
+        y.append(float(toxic))
+
+    def gap(**strength):
+        m = toxicity.fit_words(present, np.array(y), **strength)
+        w = m.weights[np.searchsorted(m.words, terms)]
+        return w.max() - w.min(), m.weights[np.searchsorted(m.words, bad)]
+
+    (without, _), (default, weight) = gap(counterfactual=0.0), gap()
+    assert without > 2 and default < 0.05 and weight > 1
+
+
+def test_swaps_equal_those_of_changed_texts():
+    """Features that a swap changes, against the features of the text with the words replaced."""
+    features = lambda words: set(next(toxicity.studied(*utf8(pa.array([" ".join(words)]))))[0].tolist())
+    for text in ("", "plain words", "black blackness and blackish birds with white whitening women", "men and men and old men met women",
+                 "muslim muslims " + "far " * 20 + "muslims christians christian", "frauen und weiß weißes christliche christlich",
+                 "american americans americana europeans immigrants immigrant blackest blackbird whitest"):
+        words = text.split()
+        present, others = next(toxicity.studied(*utf8(pa.array([text]))))
+        want = {}
+        pairs = [(words, x, [w if w != x else o for w in words], o) for g in toxicity.IDENTITY for x in g if x in words for o in g if o != x]
+        middle = len(words) // 2
+        for g, x, o in toxicity.inserted(present):
+            x, o = toxicity.IDENTITY[g][x], toxicity.IDENTITY[g][o]
+            pairs.append((words[:middle] + [x] + words[middle:], x, words[:middle] + [o] + words[middle:], o))
+        for group in toxicity.IDENTITY:
+            pairs += [([x], x, [o], o) for x in group for o in group if o != x]
+        for before, _, after, _ in pairs:
+            a, b = features(before), features(after)
+            key = tuple(sorted(a - b)), tuple(sorted(b - a))
+            want[key] = want.get(key, 0) + 1
+        got = {k: n for k, n in toxicity.swaps([present], [others]).items() if n}
+        assert got == want
+
+
+def test_penalty_covers_stems_of_names():
+    """Toxic texts say a name's stem twice, which is a feature of its own: a swap must not change the score by it either."""
+    rnd = np.random.default_rng(4)
+    found, y = [], []
+    for _ in range(600):
+        toxic = rnd.random() < 0.5
+        name = ("muslim", "christian")[int(rnd.random() < (0.15 if toxic else 0.85))]
+        found.append(f"we met the {name} and other {name}s " + " ".join(f"w{i}" for i in rnd.integers(0, 500, 6)))
+        y.append(float(toxic))
+    words, others = zip(*toxicity.studied(*utf8(pa.array(found))))
+    model = toxicity.fit_words(list(words), np.array(y), others=list(others))
+    sentences = [f"the {x} and the muslims" for x in ("muslim", "christian", "old")]
+    scores = model.logits(*utf8(pa.array(sentences)))
+    assert max(scores) - min(scores) < 0.1
+
+
 def test_trees_flattened_equal_a_walk():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(800, 5))
