@@ -1,8 +1,8 @@
 """Exact token counts without encoding: a dynamic programme stores the count at every prefix of every word.
 
 Whole texts are cut into units (a run without white space and the space before it, or white space), which no token crosses.
-Each unit's counts are computed once per worker and looked up after that, so the count of a document, of any of its unit
-prefixes, and the longest prefix within a budget follow by adding up.
+Each unit's counts are computed once per worker and looked up after that, so the count of a document follows by adding up.
+Where a budget runs out, the counts at every prefix of that one unit tell how much of it still fits.
 
 Null and empty texts have no tokens; ``<|endoftext|>`` inside a text is one token, as in the library; repeated rows are
 counted alike; a null ``doc_id`` stays null; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -26,6 +26,7 @@ from holdfast.llm.tokens import MergeTable
 
 #: The library's white space: Unicode's, without the four separators that Python's ``\\s`` adds.
 SPACE = "\t-\r \x85\xa0  -     　"
+WHITE = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Units kept per worker before the memory starts anew.
 REMEMBERED = 1_000_000
@@ -81,7 +82,7 @@ class Counter:
             self.known[u] = sum(map(of.__getitem__, found))
 
     def documents(self, found: list[str], budget: int) -> tuple[list[int], list[int]]:
-        """Per text its tokens, and the bytes of its longest run of units from the start within ``budget`` tokens."""
+        """Per text its tokens, and the bytes of its longest prefix within ``budget`` tokens (none if the whole text fits)."""
         segments = [t.split(self.special) if self.special in t else [t] for t in found]
         units = [[UNIT.findall(s) for s in parts] for parts in segments]
         totals, fits = [], []
@@ -103,25 +104,71 @@ class Counter:
     def _cut(self, parts: list[list[str]], budget: int) -> int:
         left, size = budget, 0
         for k, units in enumerate(parts):
-            if k:
-                if left < 1:
-                    return size
-                left, size = left - 1, size + len(self.special.encode())
-            spent = list(accumulate(map(self.known.__getitem__, units)))
-            taken = bisect_right(spent, left)
-            size += len("".join(units[:taken]).encode("utf-8", "surrogatepass"))
-            if taken < len(units):
-                return size
-            left -= spent[-1] if spent else 0
+            text, last = "".join(units), k == len(parts) - 1
+            spent = sum(map(self.known.__getitem__, units)) + (not last)
+            if spent > left:  # a prefix may end inside the special text, which is plain text then
+                return size + self._cut_segment(text if last else text + self.special[:-1], left)
+            left -= spent
+            size += len(text.encode("utf-8", "surrogatepass")) + (0 if last else len(self.special.encode()))
         return size
 
+    def _cut_segment(self, text: str, budget: int) -> int:
+        """Bytes of the longest prefix, cut between characters, that has at most ``budget`` tokens as a text of its own."""
+        units, spent = [], [0]
+        for u in map(re.Match.group, UNIT.finditer(text)):
+            if len(spent) > 2 and spent[-2] > budget:
+                break
+            count = self.known.get(u)
+            units.append(u)
+            spent.append(spent[-1] + (self._count(u) if count is None else count))
+        # the unit in which the prefix ends: the one after those that fit, unless white space of two units is fewer or more
+        # tokens where it ends the text, and so is one piece
+        for j in range(min(bisect_right(spent, budget), len(units) - 1), -1, -1):
+            u, before = units[j], units[j - 1] if j else ""
+            k = self._fitting(u, budget - spent[j])
+            if k <= 1 and before and before[0] in WHITE and before[-1] in WHITE and u[0] in WHITE:
+                run = before + u[0]
+                k = int(self._fitting(run, budget - spent[j - 1]) == len(run))
+            if k:
+                return len(("".join(units[:j]) + u[:k]).encode("utf-8", "surrogatepass"))
+        return 0
+
+    def _count(self, unit: str) -> int:
+        return sum(self.prefix_counts(p)[-1] for p in self.pattern.findall(unit))
+
+    def _fitting(self, unit: str, budget: int) -> int:
+        """Characters of the unit's longest prefix with at most ``budget`` tokens."""
+        done = 0
+        for found in self.pattern.finditer(unit):
+            if budget < 1:
+                break
+            whole, size = found.group(), 8 * budget
+            while True:
+                piece = whole[:size]
+                counts = self.prefix_counts(piece)
+                # past so many bytes in a row of more tokens, every prefix has more
+                if size >= len(whole) or min(counts[-self.table.longest:]) > budget:
+                    break
+                size *= 2
+            if len(piece) == len(whole) and counts[-1] <= budget:
+                done, budget = done + len(whole), budget - counts[-1]
+                continue
+            ends = list(accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece))
+            for k in range(len(piece), 0, -1):
+                # a prefix of a contraction is two pieces
+                if counts[ends[k - 1]] <= budget and (
+                        len(cut := self.pattern.findall(piece[:k])) == 1 or sum(map(self._count, cut)) <= budget):
+                    return done + k
+            break
+        return done
+
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, budget: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, budget_bytes`` per row; ``budget_bytes`` is the size of the longest prefix
-    that ends at a unit's end and needs at most ``budget`` tokens (the whole text, if it fits).
+    of whole characters that has at most ``budget`` tokens as a text of its own (the whole text, if it fits).
 
     ``vocabulary`` is the tokenizer's file, at a path that every executor has, and ``pattern`` its splitting pattern.
     """

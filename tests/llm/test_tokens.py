@@ -54,6 +54,41 @@ def test_counts_equal_the_library(spark, texts, library):
                 library.encode(head, add_special_tokens=False).ids) <= 30
 
 
+def longest_prefix(library, text, budget):
+    """Bytes of the longest prefix of whole characters, by counting every one with the library."""
+    sizes = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+    return len(text[:max(k for k, n in enumerate(sizes) if n <= budget)].encode())
+
+
+def test_budget_prefix_is_the_longest(texts, library):
+    counter = token_counts.Counter(JSON, public_tokenizers.PATTERN)
+    rnd = random.Random(2)
+    signs = ["  ", "\n", "\n\n", " \n\t", "\xa0", "a", "the", " the", "'ll", "'ve", "'", "!", "!<", "<|", "<|endoftext|>", "7", "日本", "é", "\x1c"]
+    made = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 25))) for _ in range(1500)]
+    for i, t in enumerate(made + [t for t in texts if len(t) <= 300][:900]):
+        budget = 1 + i % 17
+        (total,), (size,) = counter.documents([t], budget)
+        assert (size is None) == (total <= budget)
+        if size is not None:
+            assert size == longest_prefix(library, t, budget), (t, budget)
+
+
+def test_budget_prefix_of_texts_without_spaces(spark, library):
+    """At the budget of the query; the prefix used to end with the last unit between spaces."""
+    rnd = random.Random(3)
+    make = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    texts = [make("日本語のテキストは空白がない", 2500), make("ไทยภาษา", 3000), make("ABCDEFabcdef0123456789+/", 4000),
+             "function(a){return" + make("ab(){};=+.,0", 4000), "word " * 1000 + make("中文字符", 900), "x" * 20_000, "é" * 5000]
+    out = token_counts.count_tokens(
+        spark.createDataFrame(list(enumerate(texts)), SCHEMA), JSON, public_tokenizers.PATTERN).collect()
+    for r in out:
+        t = texts[r["doc_id"]]
+        assert r["over_limit"]
+        chars = len(t.encode()[:r["budget_bytes"]].decode())
+        tails = [len(e.ids) for e in library.encode_batch([t[:k] for k in range(chars, min(chars + 140, len(t) + 1))], add_special_tokens=False)]
+        assert tails[0] <= 1024 < min(tails[1:])
+
+
 def test_counts_at_every_prefix_of_a_word(library):
     counter = token_counts.Counter(JSON, public_tokenizers.PATTERN)
     for word in ("internationalisation", " unbelievable", "aaaaaaaaaaaaaaaaaaaaaaaa", "0123456789012345"):
