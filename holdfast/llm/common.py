@@ -43,10 +43,11 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``bound`` labelled rows outside the held-out fold.
+    """``doc_id, text, label`` of the rows of at most ``bound`` labelled ids outside the held-out fold.
 
-    Rows are taken in the order of a hash of the id. Labels that are null or neither 0 nor 1, and ids that
-    are null or labelled both ways, are left out. The sample's size bounds the broadcast.
+    Ids are taken in the order of their hash. Labels that are null or neither 0 nor 1, and ids that
+    are null or labelled both ways, are left out. The sample's size bounds the broadcast. An id may have many rows:
+    once they are reduced to what is fitted and copies are merged, ``bounded`` applies to them.
     """
     known = (
         labels.select("doc_id", F.col(label).alias("label"))
@@ -58,6 +59,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return texts(docs).join(F.broadcast(known), "doc_id")
 
 
+def bounded(rows: DataFrame, bound: int, name: str) -> DataFrame:
+    """At most ``bound`` of the rows, those with the least hashes of the whole row."""
+    found = stored(rows.withColumn("place", F.xxhash64(*rows.columns)), name)
+    if found.count() > bound:  # only hashes are put in order
+        last = found.select("place").orderBy("place").limit(bound).agg(F.max("place")).first()[0]
+        found = found.where(F.col("place") <= last)
+    return found.drop("place")
+
+
 def held_out_rows(ids: pa.Array, folds: int, fold: int) -> pa.Array:
     """Whether each id lies in the fold; null for a null id."""
     return pa.array([None if i is None else crc32(str(i).encode()) % folds == fold for i in ids.to_pylist()], pa.bool_())

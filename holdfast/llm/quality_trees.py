@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from holdfast.llm.common import (
-    WHITE, blocks, held_out_rows, labelled_sample, texts, utf8, word_classes, word_hashes,
+    WHITE, blocks, bounded, held_out_rows, labelled_sample, texts, utf8, word_classes, word_hashes,
 )
 
 FOLDS, HELD_OUT = 3, 1
@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int =
                 names=["doc_id", "label", *names])
 
     schema = "doc_id long, label int, " + ", ".join(f"{n} double" for n in names)
-    found = labelled_sample(docs, labels, "quality", folds, held_out, bound).mapInArrow(measure, schema).toPandas()
-    found = found.drop_duplicates().sort_values(["doc_id", *names])
+    read = labelled_sample(docs, labels, "quality", folds, held_out, bound).mapInArrow(measure, schema)
+    found = bounded(read.distinct(), bound, "quality_sample").toPandas().sort_values(["doc_id", *names])
     return fit_trees(found[names].to_numpy(float), found["label"].to_numpy(float))
 
 

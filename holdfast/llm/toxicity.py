@@ -20,8 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, held_out_rows, labelled_sample, mixed, texts, utf8, word_classes, word_hashes
+from holdfast.llm.common import (
+    blocks, bounded, held_out_rows, labelled_sample, mixed, texts, utf8, word_classes, word_hashes,
+)
 
 FOLDS, HELD_OUT = 5, 0
 #: Most labelled rows that the model is fitted on.
@@ -263,7 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int =
                 names=["doc_id", "label", "words", "others"])
 
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, bound)
-    found = sample.mapInArrow(words_of, "doc_id long, label int, words binary, others binary").toPandas()
+    read = sample.mapInArrow(words_of, "doc_id long, label int, words binary, others binary")
+    merged = read.groupBy("label", "words", "others").agg(F.min("doc_id").alias("doc_id"))
+    found = bounded(merged, bound, "toxicity_sample").toPandas()
     found["words"], found["others"] = found["words"].map(bytes), found["others"].map(bytes)
     found = found.sort_values(["doc_id", "words", "others"]).drop_duplicates(["label", "words"])
     words, others = ([np.frombuffer(w, np.uint64) for w in found[name]] for name in ("words", "others"))

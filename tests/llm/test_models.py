@@ -175,6 +175,28 @@ def test_labels_that_teach_nothing(spark, module):
         assert [r["held_out"] for r in found if r["doc_id"] is None] == [None]
 
 
+@pytest.mark.parametrize("module,fit", [(toxicity, "fit_words"), (quality_trees, "fit_trees")])
+def test_sample_is_bounded_by_rows(spark, monkeypatch, module, fit):
+    """A labelled id with many rows: copies are merged before the driver sees them, different texts are bounded."""
+    collected, fitted, plain, train = [], [], type(spark.range(0)).toPandas, getattr(module, fit)
+
+    def to_pandas(df):
+        collected.append(len(out := plain(df)))
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", to_pandas)
+    monkeypatch.setattr(module, fit, lambda x, y, **more: fitted.append(len(y)) or train(x, y, **more))
+    ids = 1, 7  # held out by neither
+    labels = spark.createDataFrame([(ids[0], 1, 1), (ids[1], 0, 0)], LABELS)
+    copies = [(ids[0], "some words")] * 300 + [(ids[1], "others")] * 200
+    copies = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    module.train(copies, labels)
+    texts = (" ".join(f"w{k}" for k in range(i)) for i in range(200))
+    many = spark.createDataFrame([(ids[i % 2], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    module.train(many, labels, bound=20)
+    assert collected == [2, 20] and fitted[0] == 2 and fitted[1] <= 20
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_trees])
 def test_empty_table_and_clashing_columns(spark, module):
     schema = "doc_id long, text string, label int, words string, score double, held_out string"
