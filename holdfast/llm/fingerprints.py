@@ -153,14 +153,19 @@ def _finish(ids: list, found: list[str], changed: list[str], prints: list[str],
     ]
 
 
+#: Characters of a text that tell rows of one id apart when they are dealt.
+HEAD = 500
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` per row.
 
-    Rows are dealt by ranges of ``doc_id`` and sorted once; a task streams through its range, so a row and the next one
-    meet without a window over all rows. Only the first and the last row of each range wait for a second
+    Rows are dealt by ranges of ``doc_id`` and, so that one id with many rows is split, of the first ``HEAD`` characters of
+    the text (ranges are found on the driver, which should hold no long texts), and sorted once; a task streams through its
+    range, so a row and the next one meet without a window over all rows. Only the first and the last row of each range wait for a second
     step, which joins as many rows as there are ranges.
     """
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, part = Sampler(), TaskContext.get().partitionId()

@@ -217,6 +217,23 @@ def test_fingerprints_against_plain_version(spark):
     assert sampler.fingerprints(*fingerprints._packed([ordered[3][1]])) == [got[ordered[3][0]]["fingerprint"]]
 
 
+def test_fingerprints_of_one_id_in_many_tasks(spark, monkeypatch):
+    """Rows without an id are dealt to several tasks, and each still meets the next text."""
+    dealt, plain = [], fingerprints.stored
+    monkeypatch.setattr(fingerprints, "stored", lambda df, name: dealt.append(out := plain(df, name)) or out)
+    found = sorted(f"{i * 7919 % 1000} some words of text {i}" for i in range(400))
+    df = spark.createDataFrame([(None, t) for t in found], SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one task
+    try:
+        got = Counter(r["edited_sha256"] for r in fingerprints.fingerprint_documents(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    share = [r["count"] for r in dealt[0].where("kind != 'head'").groupBy("part").count().collect()]
+    assert len(share) > 1 and max(share) < 300
+    want = [fingerprints.edited(t, n) for t, n in zip(found, found[1:] + found[:1])]
+    assert got == Counter(hashlib.sha256(t.encode()).hexdigest() for t in want)
+
+
 def test_fingerprints_of_a_single_row(spark):
     r = fingerprints.fingerprint_documents(spark.createDataFrame([(1, "a b c d")], SCHEMA)).collect()
     assert len(r) == 1 and r[0]["near_next"] == 1.0
