@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    fingerprints, near_dedup, packing, piece_codec, quality_rules, quality_trees, suffix_dedup, token_counts, toxicity,
-    url_reputation,
+    fingerprints, html_template, near_dedup, packing, periodic_runs, piece_codec, quality_rules, quality_trees, suffix_dedup,
+    token_counts, toxicity, url_reputation, vector_codes,
 )
 from holdfast.llm.common import table
-from holdfast.llm.sql import QUALITY_RULES, URL_REPUTATION
+from holdfast.llm.sql import QUALITY_RULES, URL_REPUTATION, VECTOR_CODES
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
              ("block", "net/fr/")]
@@ -67,9 +67,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score_documents(docs, quality_trees.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"), periodic_runs.with_cycles)
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_suffix_dedup, op3_sentencepiece, op4_fingerprints, op5_near_dedup, op6_toxicity,
-        op7_token_counts, op8_url_filters, op9_packing, op10_quality_classifier)
+        op7_token_counts, op8_url_filters, op9_packing, op10_quality_classifier, op11_vector_codes,
+        op12_periodic_runs, op13_html_extraction)
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op8_url_filters": URL_REPUTATION}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": QUALITY_RULES, "op8_url_filters": URL_REPUTATION, "op11_vector_codes": VECTOR_CODES}

@@ -103,3 +103,42 @@ SELECT page_id, host, path, rule,
        round(posterior, 6) AS good_share
 FROM f
 """
+
+
+def _assigned(r: int) -> str:
+    """Parts with the entry of round ``r`` that is nearest, the lower one on ties."""
+    return f"""a{r} AS MATERIALIZED (
+  SELECT rid, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT rid, parts.p, parts.v, e,
+           coalesce(list_sum([(parts.v[i] - b.v[i]) * (parts.v[i] - b.v[i]) for i in range(1, len(b.v) + 1)]), 0)::BIGINT AS d
+    FROM parts JOIN b{r} b ON parts.p = b.p) GROUP BY rid, p)"""
+
+
+def _replaced(r: int) -> str:
+    """Entries of round ``r + 1``: floors of means, worked out position by position."""
+    return f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(x ORDER BY i) AS v FROM (
+      SELECT p, e, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) / count(*))::BIGINT AS x
+      FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, vec_id, p, list_slice(v, (p * (len(v) // 4) + 1)::BIGINT, ((p + 1) * (len(v) // 4))::BIGINT) AS v
+  FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256),
+{", ".join(f"{_assigned(r)}, {_replaced(r)}" for r in range(4))}, {_assigned(4)},
+c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x, ',' ORDER BY p, e, i))
+        FROM (SELECT p, e, unnest(v)::VARCHAR AS x, generate_subscripts(v, 1) AS i FROM b4)) AS codebooks_sha256
+FROM kept JOIN c USING (rid)
+"""

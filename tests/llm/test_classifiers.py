@@ -271,7 +271,7 @@ def test_query_equals_sql(spark, name):
 
     from tools.check import compare
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     got = compare(QUERIES[name](spark, SMALL), con.sql(ORACLE_SQL[name]))
     assert got.startswith("ok") and "nearly" not in got, got
