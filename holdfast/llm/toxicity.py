@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import (
-    blocks, bounded, held_out_rows, labelled_sample, mixed, texts, utf8, word_classes, word_hashes,
+    blocks, bounded, held_out_rows, labelled_sample, mixed, stored, texts, utf8, word_classes, word_hashes,
 )
 
 FOLDS, HELD_OUT = 5, 0
@@ -169,24 +169,43 @@ class WordModel:
         return 1 / (1 + np.exp(-self.logits(data, offsets)))
 
 
-def _telling(rows: np.ndarray, words: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+def _ratio(with1: np.ndarray, with_: np.ndarray, n1: float, n: float) -> np.ndarray:
+    """Likelihood ratio of a feature's presence in ``with1`` of ``n1`` rows of label 1 and ``with_`` of all ``n`` rows."""
+    with0, n0, share = with_ - with1, n - n1, with_ / n
+    term = lambda k, n, p: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9))
+    return 2 * (term(with1, n1, share) + term(with0, n0, share) + term(n1 - with1, n1, 1 - share)
+                + term(n0 - with0, n0, 1 - share))
+
+
+def _least_ratio(vocabulary: int) -> float:
+    """What chance explains among so many features."""
+    return 2 * np.log(max(vocabulary, 2)) + 2
+
+
+#: Rows that hold a feature, at least.
+LEAST_ROWS = 3
+#: Most features, besides the names of groups.
+MOST = 2000
+
+
+def _telling(words: np.ndarray, rows: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Words whose presence goes with the label more than chance explains among so many words (likelihood ratio)."""
     vocabulary, column = np.unique(words, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
     with1 = np.bincount(column, y[rows], len(vocabulary))
     with_ = np.bincount(column, minlength=len(vocabulary)).astype(float)
-    with0 = with_ - with1
-    share = with_ / len(y)
-    term = lambda k, n, p: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9))
-    ratio = 2 * (term(with1, n1, share) + term(with0, n0, share) + term(n1 - with1, n1, 1 - share)
-                 + term(n0 - with0, n0, 1 - share))
-    enough = np.flatnonzero((ratio > 2 * np.log(max(len(vocabulary), 2)) + 2) & (with_ >= 3))
+    ratio = _ratio(with1, with_, y.sum(), len(y))
+    enough = np.flatnonzero((ratio > _least_ratio(len(vocabulary))) & (with_ >= LEAST_ROWS))
     return np.sort(vocabulary[enough[np.argsort(-ratio[enough], kind="stable")][:most]])
 
 
-def swaps(present: list[np.ndarray], others: list[np.ndarray] | None = None) -> dict[tuple[tuple, tuple], int]:
+def _named() -> np.ndarray:
+    return np.concatenate([_hashes(g) for g in IDENTITY])
+
+
+def swaps(present: list[np.ndarray], others: list[np.ndarray] | None = None, alone: int = 1) -> dict[tuple[tuple, tuple], int]:
     """How often features ``(lost, gained)`` change where a name takes another's place: for each labelled text, each term it
-    names and the one put into it per language, and once for each term alone; ``others`` are the texts' ``altered`` swaps."""
+    names and the one put into it per language, and ``alone`` times for each term alone; ``others`` are the texts' ``altered``
+    swaps."""
     out: dict[tuple[tuple, tuple], int] = {}
 
     def add(lost: tuple, gained: tuple, times: int = 1) -> None:
@@ -195,10 +214,10 @@ def swaps(present: list[np.ndarray], others: list[np.ndarray] | None = None) ->
     put = [x for words in present for x in inserted(words)]
     for g, terms in enumerate(TERMS):
         h = np.array([t.word for t in terms], np.uint64)
-        naming = 1 + sum((np.isin(h, words) for words in present), np.zeros(len(h), np.int64))
+        naming = alone + sum((np.isin(h, words) for words in present), np.zeros(len(h), np.int64))
         for x, times in zip(h.tolist(), naming.tolist()):
             for other in h.tolist():
-                if other != x:
+                if other != x and times:
                     add((x,), (other,), times)
     for g, x, other in put:
         add((TERMS[g][x].word,), (TERMS[g][other].word,))
@@ -212,34 +231,41 @@ def swaps(present: list[np.ndarray], others: list[np.ndarray] | None = None) ->
     return out
 
 
-def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge: float = 0.2, counterfactual: float = 10.0,
-              rounds: int = 300, others: list[np.ndarray] | None = None) -> WordModel:
+#: Columns lost (``i``) and gained (``~i``) where a name takes another's place, as far as the model has them: how often.
+Changes = dict[tuple[int, ...], int]
+
+
+def _start(y: np.ndarray) -> float:
+    share = (y.sum() + 1) / (len(y) + 2)
+    return float(np.log(share / (1 - share)))
+
+
+def _at(chosen: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the features that are chosen, and which ones these are."""
+    at = np.minimum(np.searchsorted(chosen, features), len(chosen) - 1)
+    hit = chosen[at] == features
+    return at[hit], hit
+
+
+def _change(chosen: np.ndarray, lost: tuple, gained: tuple) -> tuple[int, ...]:
+    return (*_at(chosen, np.array(lost, np.uint64))[0].tolist(), *(~_at(chosen, np.array(gained, np.uint64))[0]).tolist())
+
+
+def solve(chosen: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, changes: Changes, ridge: float = 0.2,
+          counterfactual: float = 10.0, rounds: int = 300) -> WordModel:
     """Gradient descent on logistic loss + ridge + counterfactual penalty, steps scaled by the curvature's diagonal.
 
     The penalty is ``counterfactual / 2`` times the number of rows times the mean over all swaps of the squared change of
     the score, so it keeps its weight against the loss, which is a sum over rows.
     """
-    share = (y.sum() + 1) / (len(y) + 2)
-    start = float(np.log(share / (1 - share)))
-    if not len(y) or y.min() == y.max():
-        return WordModel(start, np.zeros(0, np.uint64), np.zeros(0))
-    rows = np.repeat(np.arange(len(present)), [len(p) for p in present])
-    words = np.concatenate(present)
-    chosen = np.union1d(_telling(rows, words, y, most), np.concatenate([_hashes(g) for g in IDENTITY]))
-    at = np.minimum(np.searchsorted(chosen, words), len(chosen) - 1)
-    hit = chosen[at] == words
-    rows, cols = rows[hit], at[hit]
-    changes = swaps(present, others)
-    share_of = counterfactual * len(y) / sum(changes.values())
-    sizes = np.array([len(lost) + len(gained) for lost, gained in changes])
+    start = _start(y)
+    keys = sorted(changes)
+    sizes = np.array([len(k) for k in keys])
     swap = np.repeat(np.arange(len(sizes)), sizes)
-    changed = np.array([f for lost, gained in changes for f in (*lost, *gained)], np.uint64)
-    sign = np.array([v for lost, gained in changes for v in (*(-1.0 for _ in lost), *(1.0 for _ in gained))])
-    place = np.minimum(np.searchsorted(chosen, changed), len(chosen) - 1)
-    known = chosen[place] == changed  # other features weigh nothing
-    swap, place, sign = swap[known], place[known], sign[known]
-    strength = np.fromiter(changes.values(), float) * share_of
-    degree = np.bincount(place, (strength * np.bincount(swap, minlength=len(sizes)))[swap], len(chosen))
+    signed = np.array([i for k in keys for i in k], np.int64)
+    place, sign = np.where(signed < 0, ~signed, signed), np.where(signed < 0, 1.0, -1.0)
+    strength = np.array([changes[k] for k in keys], float) * (counterfactual * len(y) / sum(changes.values()))
+    degree = np.bincount(place, (strength * sizes)[swap], len(chosen))
     w, b = np.zeros(len(chosen)), start
     step = 1 / (np.bincount(cols, minlength=len(chosen)) * 0.25 * 8 + ridge + degree)
     mw, mb, momentum = w.copy(), b, 1.0
@@ -254,8 +280,83 @@ def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = 2000, ridge:
     return WordModel(float(b), chosen, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> WordModel:
-    """Fit on at most ``bound`` labelled rows outside the held-out fold; copies of a text's set of words count once."""
+def fit_words(present: list[np.ndarray], y: np.ndarray, most: int = MOST, others: list[np.ndarray] | None = None,
+              chosen: np.ndarray | None = None, changes: Changes | None = None, **strengths) -> WordModel:
+    """The model of rows given by all their features and ``altered`` swaps or, where the ``chosen`` features and the ``changes``
+    of the swaps are known, by their columns."""
+    if not len(y) or y.min() == y.max():
+        return WordModel(_start(y), np.zeros(0, np.uint64), np.zeros(0))
+    rows = np.repeat(np.arange(len(present)), [len(p) for p in present])
+    cols = np.concatenate(present)
+    if chosen is None:
+        chosen = np.union1d(_telling(cols, rows, y, most), _named())
+        cols, hit = _at(chosen, cols)
+        rows, changes = rows[hit], {}
+        for (lost, gained), times in swaps(present, others).items():
+            key = _change(chosen, lost, gained)
+            changes[key] = changes.get(key, 0) + times
+    return solve(chosen, rows, cols.astype(np.int64), y, changes, **strengths)
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _chosen(kept: DataFrame, n1: int, n: int, most: int) -> np.ndarray:
+    """The telling features, counted and ranked by Spark: only those chosen reach the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _arrays(b.column("words"))
+            label = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(w) for w in words])
+            feature, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(feature.view(np.int64)), pa.array(np.bincount(column, minlength=len(feature))),
+                 pa.array(np.bincount(column, label, len(feature)).astype(np.int64))], names=["feature", "n", "n1"])
+
+    sums = kept.select("label", "words").mapInArrow(counted, "feature long, n long, n1 long")
+    found = stored(sums.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")), "toxicity_features")
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with_, with1 = (b.column(c).to_numpy().astype(float) for c in ("n", "n1"))
+            yield pa.RecordBatch.from_arrays([b.column("feature"), pa.array(_ratio(with1, with_, float(n1), n))],
+                                             names=["feature", "ratio"])
+
+    enough = found.where(F.col("n") >= LEAST_ROWS).mapInArrow(rated, "feature long, ratio double")
+    best = enough.where(F.col("ratio") > _least_ratio(found.count())).orderBy(
+        F.desc("ratio"), F.col("feature").bitwiseXOR(F.lit(-(1 << 63)))).limit(most)  # equal ones as unsigned numbers
+    return np.union1d(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64), _named())
+
+
+def _changes(kept: DataFrame, chosen: np.ndarray) -> Changes:
+    """What ``swaps`` counts over all rows, restricted to the chosen features and summed by Spark."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Changes = {}
+        for b in batches:
+            for words, others in zip(_arrays(b.column("words")), _arrays(b.column("others"))):
+                for (lost, gained), times in swaps([words], [others], alone=0).items():
+                    key = _change(chosen, lost, gained)
+                    sums[key] = sums.get(key, 0) + times
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([np.array(k, np.int32).tobytes() for k in sums], pa.binary()), pa.array(list(sums.values()), pa.int64())],
+            names=["change", "times"])
+
+    met = kept.select("words", "others").mapInArrow(counted, "change binary, times long").groupBy("change").agg(F.sum("times"))
+    out = {tuple(np.frombuffer(r[0], np.int32).tolist()): r[1] for r in met.collect()}
+    for (lost, gained), times in swaps([], alone=1).items():  # each pair of names once by itself
+        key = _change(chosen, lost, gained)
+        out[key] = out.get(key, 0) + times
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT,
+          most: int = MOST) -> WordModel:
+    """Fit on at most ``bound`` labelled rows outside the held-out fold; copies of a text's set of words count once.
+
+    The driver gets the chosen features' columns of each row, ``most`` and the names of groups at most, however long the texts.
+    """
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,12 +368,25 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, folds: int =
 
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, bound)
     read = sample.mapInArrow(words_of, "doc_id long, label int, words binary, others binary")
-    merged = read.groupBy("label", "words", "others").agg(F.min("doc_id").alias("doc_id"))
-    found = bounded(merged, bound, "toxicity_sample").toPandas()
-    found["words"], found["others"] = found["words"].map(bytes), found["others"].map(bytes)
-    found = found.sort_values(["doc_id", "words", "others"]).drop_duplicates(["label", "words"])
-    words, others = ([np.frombuffer(w, np.uint64) for w in found[name]] for name in ("words", "others"))
-    return fit_words(words, found["label"].to_numpy(float), others=others)
+    merged = read.groupBy("label", "words").agg(F.min(F.struct("doc_id", "others")).alias("first"))
+    kept = bounded(merged.select("label", "words", "first.doc_id", "first.others"), bound, "toxicity_sample")
+    by_label = dict(tuple(r) for r in kept.groupBy("label").count().collect())
+    n1, n = by_label.get(1, 0), sum(by_label.values())
+    if not n1 or n1 == n:
+        return WordModel(_start(np.repeat([0.0, 1.0], [n - n1, n1])), np.zeros(0, np.uint64), np.zeros(0))
+    chosen = _chosen(kept, n1, n, most)
+
+    def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [_at(chosen, w)[0].astype(np.int32).tobytes() for w in _arrays(b.column("words"))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), pa.array(cols, pa.binary())], names=["doc_id", "label", "cols"])
+
+    found = kept.select("doc_id", "label", "words").mapInArrow(columns_of, "doc_id long, label int, cols binary").toPandas()
+    found["cols"] = found["cols"].map(bytes)
+    found = found.sort_values(["doc_id", "label", "cols"])
+    cols = [np.frombuffer(c, np.int32) for c in found["cols"]]
+    return fit_words(cols, found["label"].to_numpy(float), chosen=chosen, changes=_changes(kept, chosen))
 
 
 def score_documents(docs: DataFrame, model: WordModel, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:

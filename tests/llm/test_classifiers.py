@@ -130,6 +130,39 @@ def test_swaps_equal_those_of_changed_texts():
         assert got == want
 
 
+def plain_fit(docs, labels, **more):
+    """The same model from all features in memory."""
+    found = {}
+    for i, y, text in sorted((i, y, t or "") for i, t, y in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+                             if i is not None and y in (0, 1) and crc32(str(i).encode()) % 5):
+        words, others = next(toxicity.studied(*utf8(pa.array([text]))))
+        found.setdefault((y, words.tobytes()), (words, others))
+    present, others = zip(*found.values())
+    return toxicity.fit_words(list(present), np.array([y for y, _ in found], float), others=list(others), **more)
+
+
+@pytest.mark.parametrize("most", [toxicity.MOST, 5])
+def test_model_equals_that_of_all_features_in_memory(spark, most):
+    docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
+    got, want = toxicity.train(docs, labels, most=most), plain_fit(docs, labels, most=most)
+    assert np.array_equal(got.words, want.words) and len(got.words) > len(toxicity._named())
+    assert np.allclose(got.weights, want.weights, rtol=0, atol=1e-9) and abs(got.start - want.start) < 1e-9
+
+
+def test_driver_gets_no_more_of_longer_texts(spark, monkeypatch):
+    """What is collected to fit: chosen columns only, however many words the texts have."""
+    sizes = []
+    plain = toxicity.solve
+    monkeypatch.setattr(toxicity, "solve", lambda chosen, rows, cols, *more: sizes.append(len(cols)) or plain(chosen, rows, cols, *more))
+    for words in (10, 3000):
+        rnd = np.random.default_rng(7)
+        rows = [(i, " ".join(["awful" if i % 2 else "fine", *(f"w{w}" for w in rnd.integers(0, 10**9, words))])) for i in range(80)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], LABELS)
+        toxicity.train(docs, labels)
+    assert sizes[0] == sizes[1] > 0
+
+
 def test_penalty_covers_stems_of_names():
     """Toxic texts say a name's stem twice, which is a feature of its own: a swap must not change the score by it either."""
     rnd = np.random.default_rng(4)
