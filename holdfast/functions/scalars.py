@@ -159,3 +159,17 @@ def double(value: float) -> str:
 def text(value: str) -> str:
     """String literal for a SQL expression."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def category_text(name: str) -> str:
+    """SQL of a column's category text. A number has one text whatever type holds it: whole ones without a fraction, decimals
+    without closing zeros. ``typeof`` is settled when the expression meets a table, so that a saved stage follows the type."""
+    col = quoted(name)
+    plain = f"cast({col} as string)"
+    number = f"try_cast({plain} as double)"
+    return (
+        f"case when typeof({col}) in ('double', 'float') and abs({number}) < 1e15 and {number} = floor({number})"
+        f" then cast(cast({number} as bigint) as string)"
+        f" when typeof({col}) like 'decimal%' then regexp_replace({plain}, '[.]0*$|([.][0-9]*[1-9])0+$', '$1')"
+        f" else {plain} end"
+    )

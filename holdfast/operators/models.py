@@ -157,26 +157,35 @@ CANDIDATES: dict[str, Candidate] = {
 
 @dataclass(frozen=True)
 class FittedPipeline:
-    """One artifact: preprocessing and classifier, as built-in stages."""
+    """Preprocessing and classifier. ``model`` is one artifact of built-in stages; where a column has very many categories it
+    holds the classifier alone, and rows meet their slots in ``ready``."""
 
     model: PipelineModel
     preprocessor: FittedPreprocessor
 
+    def ready(self, df: DataFrame) -> DataFrame:
+        """What ``model`` takes."""
+        return self.preprocessor.assemble(df) if self.preprocessor.large else df
+
+    def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return score(self.model, self.ready(df), keep)
+
 
 def fit_pipeline(
     train: DataFrame, spec: FeatureSpec, name: str = "logistic_regression", label: str = "label",
-    **params,
+    listed: int | None = None, **params,
 ) -> FittedPipeline:
     """Learn preprocessing and classifier from the same training rows."""
-    fitted = fit_preprocessor(train, spec)
-    prep = fitted.pipeline(train)
+    fitted = fit_preprocessor(train, spec, listed=listed)
+    stages = [] if fitted.large else fitted.stages(train)
+    ready = fitted.assemble(train) if fitted.large else PipelineModel(stages).transform(train)
     id_col = spec.id_cols[0]
-    ready = prep.transform(train).select(id_col, label, "features").persist()
+    ready = ready.select(id_col, label, "features").persist()
     try:
         model = CANDIDATES[name].fit(ready, id_col=id_col, label=label, **params)
     finally:
         ready.unpersist()
-    return FittedPipeline(PipelineModel([*prep.stages, model]), fitted)
+    return FittedPipeline(PipelineModel([*stages, model]), fitted)
 
 
 def score(

@@ -2,30 +2,35 @@
 
 The fitted state is a table (feature_group, feature, param, position, number, text), one row per
 learned value. Applying it is pure column expressions or, for models, a chain of built-in Spark
-ML stages that can be saved and loaded without this package.
+ML stages that can be saved and loaded without this package. Columns with very many categories
+keep theirs in that table: rows find their slot by a join, and the vector is put together from
+column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler,
 )
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions import scalars as fn
-from holdfast.operators.ranking import ACCURACY, exact_medians
+from holdfast.operators.ranking import ACCURACY, exact_medians, positions
+from holdfast.session import written
 from holdfast.spec import FeatureSpec
 
 EPS = 2.220446049250313e-16
-#: Indicator slots of one column of a vector; a fitted preprocessor refuses more. The params table holds all.
-MAX_CATEGORIES = 100_000
+#: Categories of one column that the driver lists and a stage compares; those of a column with more stay in the params table.
+MAX_CATEGORIES = 10_000
+#: A dictionary of at most so many bytes goes to every task, a larger one is joined by shuffling.
+DICTIONARY_BYTES = 64 << 20
 #: Up to this many slots of a column are plain comparisons; more go through an index lookup.
 PLAIN_SLOTS = 32
 
@@ -69,7 +74,7 @@ def numeric_params(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 
 def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, value, n) of all columns at once, nulls left out: one shuffle."""
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    texts = df.select(*[F.expr(fn.category_text(c)).alias(c) for c in cols])
     long = texts.unpivot([], list(cols), "feature", "value").where("value is not null")
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -88,7 +93,7 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, position, value): the sorted distinct values of every column."""
-    return _categories(_ordered_counts(df, cols))
+    return _categories(written(_ordered_counts(df, cols), "category-counts"))
 
 
 def _ordered_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,27 +108,7 @@ def _modes(counts: DataFrame) -> DataFrame:
 
 
 def _categories(counts: DataFrame) -> DataFrame:
-    """Positions by rank within a bucket of the order plus what lies in the buckets before.
-
-    Numbers are bucketed by where they lie between the least and the greatest, texts by the three characters after the
-    beginning that all values of the column share, so no task orders a whole column.
-    """
-    ends = counts.groupBy("feature").agg(
-        F.min("o").alias("o0"), F.max("o").alias("o1"), F.min("value").alias("v0"), F.max("value").alias("v1"))
-    shared = F.aggregate(
-        F.sequence(F.lit(0), F.least(F.length("v0"), F.length("v1"))), F.lit(0),
-        lambda n, i: F.when((i == n + 1) & (F.col("v0").substr(i, F.lit(1)) == F.col("v1").substr(i, F.lit(1))), i).otherwise(n))
-    number = F.when(F.col("o1") > F.col("o0"), F.floor((F.col("o") - F.col("o0")) / (F.col("o1") - F.col("o0")) * 1023))
-    text = F.when(F.col("o").isNull(), F.col("value").substr(F.col("shared") + 1, F.lit(3)))
-    # one row per column name
-    placed = counts.join(F.broadcast(ends.withColumn("shared", shared)), "feature").select(
-        "feature", "o", "value", F.coalesce(number.cast("double"), F.lit(0.0)).alias("b0"), F.coalesce(text, F.lit("")).alias("b1"))
-    sizes = placed.groupBy("feature", "b0", "b1").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(W.partitionBy("feature").orderBy("b0", "b1").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("feature", "b0", "b1", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(W.partitionBy("feature", "b0", "b1").orderBy("o", "value"))
-    return placed.withColumn("rank", rank).join(offsets, ["feature", "b0", "b1"]).select(
-        "feature", (F.col("offset") + F.col("rank") - 1).alias("position"), "value")
+    return positions(counts, "feature", ["o", "value"]).select("feature", "position", "value")
 
 
 def _param(param: str, position: str | None = None, number: str | None = None, text: str | None = None) -> Column:
@@ -138,7 +123,8 @@ def _param(param: str, position: str | None = None, number: str | None = None, t
 
 def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFrame:
     """The params table learned from ``df`` (pass training rows only): one pass over the text
-    columns, and for the numeric ones one for the moments and those of the medians."""
+    columns, whose counts are written, and for the numeric ones one for the moments and those of
+    the medians."""
     group = F.create_map(*[F.lit(x) for g, c in spec.groups for x in (c, g)])[F.col("feature")]
     parts = []
     if spec.numeric:
@@ -146,7 +132,7 @@ def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFr
         params = [_param(p, number=p) for p in ("median", "mean", "std", "n_missing")]
         parts.append(stats.select("feature", F.explode(F.array(*params)).alias("p")))
     if spec.binary or spec.categorical:
-        counts = _ordered_counts(df, spec.binary + spec.categorical)
+        counts = written(_ordered_counts(df, spec.binary + spec.categorical), "category-counts")
         unmapped = F.when(F.col("feature").isin(*spec.binary), _param("unmapped_count", number="unmapped_count"))
         both = F.array_compact(F.array(_param("mode", number="n", text="mode"), unmapped))
         parts.append(_modes(counts).select("feature", F.explode(both).alias("p")))
@@ -159,21 +145,38 @@ def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFr
     return table.select(group.alias("feature_group"), "feature", "p.*")
 
 
+@dataclass(frozen=True)
+class Dictionary:
+    """All categories of a column: a table (value, position), how many, and about how many bytes."""
+
+    table: DataFrame
+    size: int
+    bytes: int
+
+
 @dataclass(frozen=True)
 class FittedPreprocessor:
-    """Params as plain values. Columns without any training value are left out."""
+    """Params as plain values, and as tables where a column has very many categories. Columns without any training value are
+    left out."""
 
     spec: FeatureSpec
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     mode: dict[str, str] = field(default_factory=dict)
     levels: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    large: dict[str, Dictionary] = field(default_factory=dict)
+    params: DataFrame | None = None
 
     @classmethod
-    def from_params(cls, params: DataFrame, spec: FeatureSpec) -> "FittedPreprocessor":
-        """Reads the table: three numbers per numeric column, one row per category."""
-        if params.where(F.col("position") >= MAX_CATEGORIES).take(1):
-            raise ValueError(f"a column has more than {MAX_CATEGORIES} categories")
-        got = params.collect()
+    def from_params(cls, params: DataFrame, spec: FeatureSpec, listed: int | None = None) -> "FittedPreprocessor":
+        """Works the table out once, writes it and reads three numbers per numeric column and the categories of columns that have
+        at most ``listed`` (default MAX_CATEGORIES)."""
+        listed = MAX_CATEGORIES if listed is None else listed
+        params = written(params, "params")
+        slots = params.where("param = 'category'").groupBy("feature").agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("text") + 16).alias("bytes"))
+        sizes = {r["feature"]: (r["n"], r["bytes"]) for r in slots.collect()}
+        many = [c for c in spec.categorical if sizes.get(c, (0, 0))[0] > listed]
+        got = params.where((F.col("param") != "category") | ~F.col("feature").isin(*many)).collect()
         numbers = {(r["feature"], r["param"]): r["number"] for r in got}
         numeric = {
             c: tuple(numbers[c, p] for p in ("median", "mean", "std"))
@@ -184,15 +187,24 @@ class FittedPreprocessor:
         levels: dict[str, list] = {}
         for r in sorted((r for r in got if r["param"] == "category"), key=lambda r: r["position"]):
             levels.setdefault(r["feature"], []).append(r["text"])
-        return cls(spec, numeric, mode, {c: tuple(v) for c, v in levels.items()})
+        large = {}
+        for c in many:
+            table = params.where((F.col("param") == "category") & (F.col("feature") == c))
+            large[c] = Dictionary(table.select(F.col("text").alias("value"), "position"), *sizes[c])
+        return cls(spec, numeric, mode, {c: tuple(v) for c, v in levels.items()}, large, params)
 
     def kept_levels(self, col: str) -> tuple[str, ...]:
         """Categories that get a slot: of exactly two only the second, if the spec says so."""
         levels = self.levels.get(col, ())
         return levels[1:] if self.spec.drop_if_binary and len(levels) == 2 else levels
 
+    def _listed(self, what: str) -> None:
+        for c, d in self.large.items():
+            raise ValueError(f"{c} has {d.size} categories, more than {what}")
+
     def feature_names(self) -> list[str]:
-        """``group__column`` and ``group__column_value``, in vector order."""
+        """``group__column`` and ``group__column_value``, in vector order; ``schema_table`` has those of any number."""
+        self._listed("a list of names should hold; take schema_table")
         spec = self.spec
         names = [f"{spec.numeric_prefix}__{c}" for c in spec.numeric if c in self.numeric]
         names += [f"{spec.binary_prefix}__{c}" for c in spec.binary if c in self.mode]
@@ -207,7 +219,7 @@ class FittedPreprocessor:
         return f"({value} - ({mean})) / {std}"
 
     def _filled(self, col: str) -> str:
-        return f"coalesce(cast({fn.quoted(col)} as string), {fn.text(self.mode[col])})"
+        return f"coalesce({fn.category_text(col)}, {fn.text(self.mode[col])})"
 
     def _flag(self, col: str) -> str:
         trues = ", ".join(fn.text(t) for t in fn.TRUE_TEXTS)
@@ -226,6 +238,7 @@ class FittedPreprocessor:
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """One double column per feature name; unseen categories are zero in every slot."""
+        self._listed("a table has columns; take assemble")
         prefix = self.spec.categorical_prefix
         out = self._dense() + [
             (f"{prefix}__{c}_{v}", self._slot(c, v))
@@ -239,6 +252,7 @@ class FittedPreprocessor:
         Short category lists become comparisons in generated code, long ones a hash lookup and a
         sparse block. ``df`` gives the schema only.
         """
+        self._listed("stages hold; take assemble")
         spec, dense, indexed = self.spec, self._dense(), []
         # columns between the stages are numbered: names made of category texts could not be parsed
         inputs = [f"__f_{i}" for i in range(len(dense))]
@@ -278,19 +292,93 @@ class FittedPreprocessor:
         return PipelineModel(self.stages(df, features))
 
 
-def fit_preprocessor(train: DataFrame, spec: FeatureSpec, approx: bool = False) -> FittedPreprocessor:
-    return FittedPreprocessor.from_params(fit_params(train, spec, approx), spec)
+    def _blocks(self) -> list[tuple[str, int]]:
+        """(column, slots) in vector order."""
+        spec = self.spec
+        return [(c, 1) for c in spec.numeric if c in self.numeric] + [(c, 1) for c in spec.binary if c in self.mode] + [
+            (c, self.large[c].size if c in self.large else len(self.kept_levels(c))) for c in spec.categorical]
+
+    def lookup(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``__slot_<i>``, the position of its category in each large column, null for unseen ones."""
+        for i, (c, d) in enumerate(self.large.items()):
+            side = d.table.select(F.col("value").alias("__value"), F.col("position").alias(f"__slot_{i}"))
+            if d.bytes <= DICTIONARY_BYTES:
+                side = F.broadcast(side)
+            df = df.join(side, F.expr(self._filled(c)) == F.col("__value"), "left").drop("__value")
+        return df
+
+    def assemble(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """``df`` with the vector ``features``, whatever the number of categories.
+
+        Slots of large columns are added to the entries of the vector of all others by position; entries are the plain structure
+        of a sparse vector, turned into one by way of JSON, the one built-in conversion there is. No slot is named.
+        """
+        if not self.large:
+            return self.pipeline(df, features).transform(df)
+        rest = replace(self, large={}, spec=replace(
+            self.spec, categorical=tuple(c for c in self.spec.categorical if c not in self.large)))
+        found = self.lookup(df)
+        plain, width, small, shifts, slots = "__rest", 0, 0, [], {}
+        for c, n in self._blocks():
+            if c in self.large:
+                slots[c] = width
+                shifts.append((small, n))
+            else:
+                small += n
+            width += n
+        if small:
+            found = rest.pipeline(found, plain).transform(found)
+            shape = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+            got = F.from_json(F.to_json(F.struct(F.col(plain).alias("v"))), shape)["v"]
+            index = F.coalesce(got["indices"], F.sequence(F.lit(0), F.size(got["values"]) - 1))
+            entries = F.filter(F.arrays_zip(index.alias("i"), got["values"].alias("x")), lambda e: e["x"] != 0)
+
+            def moved(e: Column) -> Column:
+                i = e["i"]
+                for start, n in shifts:
+                    i = i + F.when(e["i"] >= start, n).otherwise(0)
+                return F.struct(i.alias("i"), e["x"].alias("x"))
+
+            parts = [F.transform(entries, moved)]
+        else:
+            parts = []
+        for k, c in enumerate(self.large):
+            here = F.struct((F.col(f"__slot_{k}") + slots[c]).cast("int").alias("i"), F.lit(1.0).alias("x"))
+            parts.append(F.when(F.col(f"__slot_{k}").isNotNull(), F.array(here)).otherwise(
+                F.array().cast("array<struct<i: int, x: double>>")))
+        entries = F.array_sort(F.concat(*parts))
+        sparse = F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"),
+            F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["x"]).alias("values"))
+        vector = F.from_json(F.to_json(F.struct(sparse.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+        return found.select(*[fn.quoted(c) for c in df.columns], vector.alias(features))
+
+
+def fit_preprocessor(
+    train: DataFrame, spec: FeatureSpec, approx: bool = False, listed: int | None = None,
+) -> FittedPreprocessor:
+    return FittedPreprocessor.from_params(fit_params(train, spec, approx), spec, listed)
 
 
 def schema_table(fitted: FittedPreprocessor, df: DataFrame) -> DataFrame:
     """(position, feature_group, input_feature, transformed_feature) of the fitted encoder."""
-    spec, rows = fitted.spec, []
+    spec, rows, tables, at = fitted.spec, [], [], 0
+    shape = "position int, feature_group string, input_feature string, transformed_feature string"
     for group, c in spec.groups:
-        if group == spec.categorical_prefix and c in spec.categorical:
-            rows += [(group, c, f"{group}__{c}_{v}") for v in fitted.kept_levels(c)]
+        categorical = group == spec.categorical_prefix and c in spec.categorical
+        if categorical and c in fitted.large:
+            name = F.concat(F.lit(f"{group}__{c}_"), "value")
+            tables.append(fitted.large[c].table.select(
+                (F.col("position") + at).cast("int").alias("position"), F.lit(group).alias("feature_group"),
+                F.lit(c).alias("input_feature"), name.alias("transformed_feature")))
+            at += fitted.large[c].size
+        elif categorical:
+            rows += [(at + i, group, c, f"{group}__{c}_{v}") for i, v in enumerate(fitted.kept_levels(c))]
+            at += len(fitted.kept_levels(c))
         elif c in fitted.numeric or c in fitted.mode:
-            rows.append((group, c, f"{group}__{c}"))
-    return df.sparkSession.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)],
-        "position int, feature_group string, input_feature string, transformed_feature string",
-    )
+            rows.append((at, group, c, f"{group}__{c}"))
+            at += 1
+    out = df.sparkSession.createDataFrame(rows, shape)
+    for table in tables:
+        out = out.unionByName(table)
+    return out

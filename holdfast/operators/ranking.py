@@ -125,6 +125,54 @@ def running_totals(
     return joined.select(*out)
 
 
+#: Values sampled for each cut of an order, and the characters of a value that a cut keeps.
+PER_CUT, CUT_CHARS = 16, 256
+
+
+def _quantile_cuts(rows: DataFrame, group: str, order: Sequence[str], buckets: dict[str, int], counts: dict[str, int]) -> DataFrame:
+    """(group, cuts): sorted keys that cut each group's order into about ``buckets`` equal parts.
+
+    A sample by hash, the same whenever it is drawn, is sorted per group (at most PER_CUT * MAX_BUCKETS keys), and every
+    PER_CUT-th key is a cut. Quantiles follow the values, so neither a common beginning nor an outlier fills one bucket.
+    """
+    share = F.create_map(*[F.lit(x) for g, b in buckets.items() for x in (g, min(1.0, PER_CUT * b / counts[g]) if b > 1 else 0.0)])
+    drawn = F.pmod(F.xxhash64(group, *order), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share[F.col(group)]
+    key = F.struct(*[F.substring(c, 1, CUT_CHARS).alias(c) if dict(rows.dtypes)[c] == "string" else c for c in order])
+    keys = rows.where(drawn).groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return keys.select(group, F.filter("keys", lambda x, i: (i > 0) & (i % PER_CUT == 0)).alias("cuts"))
+
+
+def positions(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``position``: the place of a row, from 0, among those of its group in the order of ``order`` (unique in a
+    group; nulls first). ``group`` has few values, such as column names. Read several times: pass a table.
+
+    Groups of more than ROWS_PER_BUCKET rows are cut at quantiles of their order, so that no task sorts a whole group as long
+    as values differ within their first CUT_CHARS characters.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}  # a row per group
+    ascending = W.partitionBy(group).orderBy(*order)
+    if max(counts.values(), default=0) <= ROWS_PER_BUCKET:
+        return rows.withColumn("position", F.row_number().over(ascending) - 1)
+    buckets = {g: min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)) for g, n in counts.items()}
+    cuts = _quantile_cuts(rows, group, order, buckets, counts)
+    jumps = [1 << i for i in reversed(range((4 * MAX_BUCKETS).bit_length()))]
+    key = F.struct(*order)
+
+    def advance(pos: Column, jump: Column) -> Column:
+        return F.when(F.get("cuts", pos + jump - 1) <= key, pos + jump).otherwise(pos)
+
+    bucket = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), advance)
+    # Bounded: a row per group with some thousands of cuts, then a row per cut.
+    placed = rows.join(F.broadcast(cuts), group, "left").withColumn("__bucket", F.coalesce(bucket, F.lit(0))).drop("cuts")
+    sizes = placed.groupBy(group, "__bucket").agg(F.count("*").alias("__size"))
+    before = W.partitionBy(group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(group, "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy(group, "__bucket").orderBy(*order)
+    ranked = placed.withColumn("__rank", F.row_number().over(inside))
+    place = (F.col("__before") + F.col("__rank") - 1).alias("position")
+    return ranked.join(F.broadcast(offsets), [group, "__bucket"]).select(*rows.columns, place)
+
+
 def _totals_in_one_bucket(
     merged: DataFrame, order: str, sums: Sequence[str], out: Sequence[str], lower: bool
 ) -> DataFrame:

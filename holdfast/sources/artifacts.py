@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import metrics as m
+from holdfast.operators.models import FittedPipeline
+from holdfast.operators.preprocess import FittedPreprocessor
+from holdfast.spec import FeatureSpec
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -19,6 +25,24 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_pipeline(fitted: FittedPipeline, path: str) -> str:
+    """Model, column roles and learned values below ``path``; categories of any number stay a table."""
+    spark = fitted.preprocessor.params.sparkSession
+    fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.preprocessor.params.write.mode("overwrite").parquet(f"{path}/params")
+    listed = max((len(v) for v in fitted.preprocessor.levels.values()), default=0)
+    spec = [(json.dumps(asdict(fitted.preprocessor.spec)), listed)]
+    spark.createDataFrame(spec, "spec string, listed int").write.mode("overwrite").json(f"{path}/spec")
+    return path
+
+
+def load_pipeline(spark: SparkSession, path: str) -> FittedPipeline:
+    row = spark.read.schema("spec string, listed int").json(f"{path}/spec").first()
+    roles = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(row["spec"]).items()}
+    prep = FittedPreprocessor.from_params(spark.read.parquet(f"{path}/params"), FeatureSpec(**roles), row["listed"])
+    return FittedPipeline(PipelineModel.load(f"{path}/model"), prep)
+
+
 def metrics_record(
     evaluation: DataFrame, model_type: str, config: dict[str, object], split: str = "split"
 ) -> DataFrame:
