@@ -189,6 +189,27 @@ def split_accounts(spark, sf):
     return split.stratified_split(rows, "label", "customerID", 0.70, 0.15, 0.15)
 
 
+_LINES = "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS part FROM lineitem"
+_LINES_SPLIT = f"""SELECT * FROM ({q.split(_LINES, "part", "id", 0.70, 0.15, 0.15)})"""
+
+
+def _lines(spark, sf):
+    return fx.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.col("l_partkey").alias("part"))
+
+
+@query("R01_split_many_classes", f"SELECT id, part, split FROM ({_LINES_SPLIT})")
+def split_many_classes(spark, sf):
+    """A class for every part."""
+    return split.stratified_split(_lines(spark, sf), "part", "id", 0.70, 0.15, 0.15).select("id", "part", "split")
+
+
+@query("R04_early_stopping_many_classes", f"""
+SELECT id, split = 'test' AS is_valid FROM ({q.split(_LINES, "part", "id", 0.9, 0.0, 0.1)})""")
+def early_stopping_many_classes(spark, sf):
+    return split.early_stopping_indicator(_lines(spark, sf), "part", "id").select("id", "is_valid")
+
+
 @query("R02_leakage_counts", f"""
 SELECT {', '.join(f"CAST(count(*) FILTER (WHERE has_{a} AND has_{b}) AS BIGINT) AS {a}_{b}"
                   for a, b in (("train", "validation"), ("train", "test"), ("validation", "test")))}

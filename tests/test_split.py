@@ -113,3 +113,58 @@ def test_summary(thousand):
 def test_early_stopping_indicator(thousand):
     got = sp.early_stopping_indicator(thousand, "Churn", "customerID")
     assert rows(got.groupBy("is_valid", "Churn").count()) == [(False, 0, 630), (False, 1, 270), (True, 0, 70), (True, 1, 30)]
+
+
+def many_classes(spark, classes=5000):
+    """Classes of 2 to 9 rows, one with a third of all rows, ids that repeat."""
+    small = spark.range(classes * 4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), (F.col("id") % classes).alias("y"))
+    large = spark.range(classes * 2).select(F.concat(F.lit("h"), (F.col("id") % 9000).cast("string")).alias("id"), F.lit(7).cast("long").alias("y"))
+    return small.union(large)
+
+
+@pytest.mark.parametrize("small", [0, 2_000_000])
+def test_tables_cut_as_the_driver_does(spark, monkeypatch, small):
+    df = many_classes(spark, 40).where("id not like 'h%' or y = 7").persist()
+    monkeypatch.setattr(sp, "LISTED_CLASSES", 100)
+    want, cuts = rows(sp.stratified_split(df, "y", "id")), sp.fit_splits(df, "y", "id")
+    monkeypatch.setattr(sp, "LISTED_CLASSES", 1)
+    monkeypatch.setattr(sp, "SMALL_BUCKET", small)
+    got = sp.fit_splits(df, "y", "id")
+    assert isinstance(got, sp.SplitTable) and isinstance(cuts, sp.SplitCuts)
+    assert rows(got.assign(df)) == want
+    assert rows(got.cuts) == sorted(cuts.cuts, key=repr)
+    assert rows(got.sizes, "cls", "n_train", "n_validation", "n_test") == sorted(cuts.sizes, key=repr)
+    monkeypatch.setattr(sp, "BROADCAST_CLASSES", 0)
+    assert rows(got.assign(df)) == want
+
+
+def test_five_thousand_classes_have_exact_sizes(spark, monkeypatch):
+    df = many_classes(spark).persist()
+    collected, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(len(out := plain(self))) or out)
+    monkeypatch.setattr(sp, "DIGITS", 1)  # else the first look at the counts holds as many rows as 16 classes may have
+    cuts = sp.fit_splits(df, "y", "id", 0.7, 0.15, 0.15)
+    monkeypatch.undo()
+    assert max(collected) <= 16 * 16 + 1
+    out = cuts.assign(df)
+    counts = {y: n for y, n in rows(df.groupBy("y").count())}
+    want = dict(zip(sorted(counts), sp.split_sizes([counts[y] for y in sorted(counts)], 0.7, 0.15, 0.15)))
+    assert {r["cls"]: (r["n_train"], r["n_validation"], r["n_test"]) for r in cuts.sizes.collect()} == want
+    got = {}
+    for y, part, n in rows(out.where("y <> 7").groupBy("y", "split").count()):
+        got.setdefault(y, {})[part] = n
+    for y, (a, b, c) in want.items():
+        if y != 7:  # ids of class 7 repeat and stay together
+            assert got[y] == {k: v for k, v in (("train", a), ("validation", b), ("test", c)) if v}
+    assert out.where("split is null").isEmpty()
+    assert out.where("y = 7").groupBy("id").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
+
+
+def test_many_classes_raise_as_few_do(spark):
+    df = many_classes(spark, 50)
+    one = spark.createDataFrame([("z", 999)], "id string, y long")
+    with pytest.raises(ValueError, match="fewer than 2"):
+        sp.fit_splits(df.union(one), "y", "id")
+    for bad in ((None, 5), ("z", None)):
+        with pytest.raises(ValueError, match="null"):
+            sp.fit_splits(df.union(spark.createDataFrame([bad, bad], "id string, y long")), "y", "id")
