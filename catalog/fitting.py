@@ -171,6 +171,23 @@ def feature_vector(spark, sf):
     ])
 
 
+_MANY = FeatureSpec(numeric=("o_totalprice",), categorical=("o_custkey", "o_orderstatus"), id_cols=("o_orderkey",))
+
+
+@query("F10_joined_dictionary", """WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS x FROM orders),
+n AS (SELECT CAST(count(DISTINCT o_custkey) AS INTEGER) AS n FROM o)
+SELECT id, 0 AS i, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS x FROM o
+UNION ALL SELECT id, CAST(dense_rank() OVER (ORDER BY o_custkey) AS INTEGER), 1e0 FROM o
+UNION ALL SELECT id, CAST(n + dense_rank() OVER (ORDER BY o_orderstatus) AS INTEGER), 1e0 FROM o, n""")
+def joined_dictionary(spark, sf):
+    """Entries of the vectors of orders, with a slot for every customer, found by a join."""
+    orders = fx.table(spark, sf, "orders")
+    model = pp.fit_preprocessor(orders, _MANY, listed=50)
+    entries = pp.vector_entries(F.col("features"))
+    found = model.assemble(orders).select(F.col("o_orderkey").alias("id"), F.inline(entries))
+    return rounded(found, 6, "x")
+
+
 @query("F11_fit_train_transform_all", f"""{_WITH} SELECT "customerID", split, {_num_wide()},
 {", ".join(q.one_hot(_FIT, CATEGORICAL_ALL, "cat"))} FROM base""")
 def fit_train_transform_all(spark, sf):
@@ -193,6 +210,17 @@ def feature_names(spark, sf):
     return pp.schema_table(model, rows).select("position", F.col("transformed_feature").alias("name"))
 
 
+@query("S07_schema_of_many", """
+SELECT CAST(0 AS INTEGER) AS position, 'numeric' AS feature_group, 'o_totalprice' AS input_feature, 'numeric__o_totalprice' AS transformed_feature
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY o_custkey) AS INTEGER), 'categorical', 'o_custkey', 'categorical__o_custkey_' || o_custkey
+FROM (SELECT DISTINCT o_custkey FROM orders)
+UNION ALL SELECT CAST(n + row_number() OVER (ORDER BY s) AS INTEGER), 'categorical', 'o_orderstatus', 'categorical__o_orderstatus_' || s
+FROM (SELECT DISTINCT o_orderstatus AS s FROM orders), (SELECT count(DISTINCT o_custkey) AS n FROM orders)""")
+def schema_of_many(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    return pp.schema_table(pp.fit_preprocessor(orders, _MANY, listed=50), orders)
+
+
 @query("S07_feature_schema", f"{_NAMES} SELECT {_POSITION}, feature_group, input_feature, transformed_feature FROM named")
 def feature_schema(spark, sf):
     model, rows = fitted(spark, sf, BASELINE)

@@ -145,6 +145,14 @@ def fit_params(df: DataFrame, spec: FeatureSpec, approx: bool = False) -> DataFr
     return table.select(group.alias("feature_group"), "feature", "p.*")
 
 
+def vector_entries(vector: Column) -> Column:
+    """Entries of a vector that are not zero, as array<struct<i: int, x: double>>, without its zeros being made."""
+    shape = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    got = F.from_json(F.to_json(F.struct(vector.alias("v"))), shape)["v"]
+    index = F.coalesce(got["indices"], F.sequence(F.lit(0), F.size(got["values"]) - 1))
+    return F.filter(F.arrays_zip(index.alias("i"), got["values"].alias("x")), lambda e: e["x"] != 0)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """All categories of a column: a table (value, position), how many, and about how many bytes."""
@@ -328,10 +336,7 @@ class FittedPreprocessor:
             width += n
         if small:
             found = rest.pipeline(found, plain).transform(found)
-            shape = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
-            got = F.from_json(F.to_json(F.struct(F.col(plain).alias("v"))), shape)["v"]
-            index = F.coalesce(got["indices"], F.sequence(F.lit(0), F.size(got["values"]) - 1))
-            entries = F.filter(F.arrays_zip(index.alias("i"), got["values"].alias("x")), lambda e: e["x"] != 0)
+            entries = vector_entries(F.col(plain))
 
             def moved(e: Column) -> Column:
                 i = e["i"]
