@@ -10,7 +10,7 @@ from catalog import tables_sql as q
 from catalog.base import query, rounded
 from catalog.fitting import kept
 from catalog.modelling import FEATURES, newton, vectors
-from holdfast.operators import explain as ex, models as md
+from holdfast.operators import explain as ex, models as md, trees as tr
 
 _COEF = newton() + """, coef AS (SELECT 'x1' AS feature, b1 AS coefficient FROM beta UNION ALL SELECT 'x2', b2 FROM beta),
 imp AS (SELECT *, abs(coefficient) / sum(abs(coefficient)) OVER () AS importance,
@@ -67,15 +67,23 @@ def tree_importance(spark, sf):
     return rounded(ex.tree_importance(spark, model, ["u", "v"]), 6, "importance", "cumulative_importance")
 
 
-@query("X02_forest_importance")
+_FOREST = (*FEATURES, "c_A", "c_B", "c_C", "c_D")
+
+
+@query("X02_forest_importance", f"""SELECT feature, true AS agrees FROM (VALUES {", ".join(f"('{n}')" for n in _FOREST)}) v(feature)""")
 def forest_importance(spark, sf):
-    """Importances of a forest on the numeric features and the category indicators."""
+    """Importances of a forest on the numeric features and the category indicators, against those worked out from its nodes."""
     frame = fx.model_frame(spark, sf)
-    names = [*FEATURES, "c_A", "c_B", "c_C", "c_D"]
-    frame = frame.withColumns({n: (F.col("c") == n[-1]).cast("double") for n in names[2:]})
-    with kept(VectorAssembler(inputCols=names, outputCol="features").transform(frame)) as rows:
+    frame = frame.withColumns({n: (F.col("c") == n[-1]).cast("double") for n in _FOREST[2:]})
+    with kept(VectorAssembler(inputCols=list(_FOREST), outputCol="features").transform(frame)) as rows:
         model = md.fit_forest(rows, trees=20, depth=5)
-    return rounded(ex.tree_importance(spark, model, names), 6, "importance", "cumulative_importance")
+    own = ex.tree_importance(spark, model, _FOREST).select("feature", "importance")
+    names = spark.createDataFrame(list(enumerate(_FOREST)), "i int, feature string")
+    nodes = tr.node_importance(tr.node_table(spark, model), per_tree=True).select(
+        F.col("feature").alias("i"), F.col("importance").alias("of_nodes"))
+    agrees = F.abs(F.col("importance") - F.coalesce("of_nodes", F.lit(0.0))) <= 1e-9
+    found = own.join(names, "feature").join(nodes, "i", "left")
+    return found.select("feature", agrees.alias("agrees"))
 
 
 @query("X03_feature_importance", f"""{_COEF}
@@ -143,6 +151,22 @@ def explain_rows(spark, sf):
                        "confidence", "risk_level", F.size("top_features").alias("n_top_features"))
 
 
+@query("X04_explain_fitted", newton() + f""", c AS (SELECT id, b + b1 * x1 + b2 * x2 AS z, unnest(['x1', 'x2']) AS feature,
+  unnest([x1 * b1, x2 * b2]) AS contribution FROM ({q.MODEL_FRAME}), beta),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank FROM c)
+SELECT id, rank, feature, round(contribution, 2) AS contribution, round(1 / (1 + exp(-z)), 2) AS churn_probability,
+       CASE WHEN z >= 0 THEN 'Will Churn' ELSE 'Will Stay' END AS prediction,
+       (SELECT string_agg(f, ',' ORDER BY w DESC) FROM (SELECT unnest(['x1', 'x2']) AS f, unnest([abs(b1), abs(b2)]) AS w FROM beta)) AS top
+FROM r""")
+def explain_fitted(spark, sf):
+    """Contributions, verdict and most important features of a fitted logistic model, for every row."""
+    rows = ex.explain_predictions(_fitted(spark, sf), vectors(spark, sf), FEATURES, ["id"], top_n=2)
+    top = F.array_join(F.transform("top_features", lambda x: x["feature"]), ",").alias("top")
+    long = rows.select("*", top, F.posexplode("top_contributors").alias("i", "c"))
+    return rounded(long.select("id", (F.col("i") + 1).alias("rank"), "c.*", "churn_probability", "prediction", "top"), 2,
+                   "contribution", "churn_probability")
+
+
 @query("X05_explanation_text", f"""
 SELECT id, concat_ws(chr(10), 'Prediction: ' || CASE WHEN y_prob >= 0.5 THEN 'Will Churn' ELSE 'Will Stay' END,
   'Churn probability: ' || printf('%.1f%%', y_prob * 100e0), 'Risk level: ' || risk,

@@ -12,7 +12,7 @@ from catalog import tables_sql as q
 from catalog.base import query, rounded
 from catalog.data import _REASONS
 from catalog.fitting import ID, kept, split_accounts
-from holdfast.operators import metrics as m, models as md
+from holdfast.operators import metrics as m, models as md, trees as tr
 from holdfast.operators.split import fit_splits
 from holdfast.session import new_folder
 from holdfast.sources import artifacts as art
@@ -122,6 +122,17 @@ def gradient_boosting(spark, sf):
     return _quality(*_train(spark, sf, "gradient_boosting"))
 
 
+@query("M04_first_rounds", f"SELECT count(*) AS n_rows, 4 AS n_trees, CAST(4 AS BIGINT) AS n_equal FROM ({q.MODEL_FRAME})")
+def first_rounds(spark, sf):
+    """Losses of a boosted model cut to four trees that equal those of the long fit, bit for bit."""
+    with kept(vectors(spark, sf).select("label", "features")) as rows:
+        model = md.gradient_boosting(8).fit(rows)
+        cut = tr.first_trees(spark, model, 4)
+        equal = sum(a == b for a, b in zip(cut.evaluateEachIteration(rows), model.evaluateEachIteration(rows)))
+        return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            "n_rows", F.lit(cut.getNumTrees).alias("n_trees"), F.lit(equal).cast("long").alias("n_equal"))
+
+
 _SMALL = {"random_forest": {"trees": 10, "depth": 5}, "gradient_boosting": {"rounds": 15}}
 
 

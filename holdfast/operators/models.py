@@ -18,6 +18,7 @@ from holdfast.functions import scalars as fn
 from holdfast.operators.metrics import compare_models
 from holdfast.operators.preprocess import FittedPreprocessor, fit_preprocessor
 from holdfast.operators.split import early_stopping_indicator
+from holdfast.operators.trees import first_trees
 from holdfast.session import ensure_checkpoint_dir
 from holdfast.spec import FeatureSpec
 
@@ -128,17 +129,16 @@ def fit_boosting(
     """Boosted trees, stopped early on a stratified held-out part.
 
     Spark stops at the first round without progress; patience needs the loss of every round, so
-    the model is fitted, its rounds are judged on the held-out rows in one pass, and if fewer are
-    enough a second fit makes exactly those.
+    the model is fitted once, its rounds are judged on the held-out rows in one pass, and if
+    fewer are enough its first trees are kept.
     """
     ensure_checkpoint_dir(train.sparkSession)
     flagged = early_stopping_indicator(train, label, id_col, held_out, seed)
     fit_on = flagged.where(~F.col("is_valid")).select(features, label)
     judge = flagged.where("is_valid").select(features, label)
-    estimator = gradient_boosting(rounds, label=label, features=features, seed=seed, **params)
-    model = estimator.fit(fit_on)
+    model = gradient_boosting(rounds, label=label, features=features, seed=seed, **params).fit(fit_on)
     keep = rounds_to_keep(model.evaluateEachIteration(judge), patience, tol)
-    return model if keep == rounds else estimator.setMaxIter(keep).fit(fit_on)
+    return model if keep == model.getNumTrees else first_trees(train.sparkSession, model, keep)
 
 
 @dataclass(frozen=True)
