@@ -27,6 +27,31 @@ def csv_scan(spark, sf):
     return src.read_csv(spark, _landed(spark, sf))
 
 
+def _broken(spark, sf):
+    """Two CSV files of accounts; in the second, rows lack their last field or have one more."""
+    rows, path = fx.accounts(spark, sf), new_folder(spark, "broken")
+    k = F.substring("customerID", 2, 8).cast("long")
+    src.write_csv(rows.where(k % 2 == 0).coalesce(1), path)
+    line = F.to_csv(F.struct(*rows.columns), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    line = F.when(k % 10 == 3, F.regexp_replace(line, ",[^,]*$", "")).when(k % 10 == 7, F.concat(line, F.lit(",more"))).otherwise(line)
+    odd = rows.where(k % 2 == 1).select(line.alias(",".join(rows.columns))).coalesce(1)
+    odd.write.mode("append").option("header", True).option("sep", "\x01").option("quote", "").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query("S01_good_rows", f"""SELECT * FROM ({q.ACCOUNTS}) WHERE CAST(substr("customerID", 2) AS BIGINT) % 10 NOT IN (3, 7)""")
+def good_rows(spark, sf):
+    return src.good_rows(src.read_csv_checked(spark, _broken(spark, sf)))
+
+
+@query("S01_reject_counts", f"""
+SELECT CASE CAST(substr("customerID", 2) AS BIGINT) % 10 WHEN 3 THEN 'too few fields' ELSE 'too many fields' END AS reject_reason,
+       count(*) AS n FROM ({q.ACCOUNTS}) WHERE CAST(substr("customerID", 2) AS BIGINT) % 10 IN (3, 7) GROUP BY 1""")
+def reject_counts(spark, sf):
+    return src.reject_counts(src.read_csv_checked(spark, _broken(spark, sf))).drop("source_file")
+
+
 @query("S02_nonempty_input", f'SELECT "customerID", "Churn" FROM ({q.ACCOUNTS})')
 def nonempty_input(spark, sf):
     return src.require_rows(fx.accounts(spark, sf)).select("customerID", "Churn")
@@ -162,12 +187,12 @@ _GROUPED = ", ".join(f'"{c}"' for c in ("customerID", *GROUPED.features, "label"
 
 @query("C10_prepare_impute", f"SELECT {_BASE} FROM ({q.PREPARED})")
 def prepare_impute(spark, sf):
-    return clean.prepare(fx.accounts(spark, sf), BASELINE, "impute")
+    return clean.prepare_written(fx.accounts(spark, sf), BASELINE, "impute")
 
 
 @query("C10_prepare_zero", f"SELECT {_GROUPED} FROM ({q.PREPARED_ZERO})")
 def prepare_zero(spark, sf):
-    return clean.prepare(fx.accounts(spark, sf), GROUPED, "zero")
+    return clean.prepare_written(fx.accounts(spark, sf), GROUPED, "zero")
 
 
 # --- splits ----------------------------------------------------------------------------------

@@ -230,19 +230,35 @@ def load_model(spark, sf):
     return md.score(loaded, rows, [ID]).select(ID, F.col("y_prob").between(0, 1).alias("scored"))
 
 
-@query("M10_streaming_scores", f"""
-SELECT "customerID", CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS route, reasons, reasons = '' AS has_score
-FROM (SELECT "customerID", concat_ws(',', CASE WHEN tenure < 0 OR tenure > 100 THEN 'tenure' END, {_REASONS}) AS reasons
-      FROM ({q.ACCOUNTS}))""")
+_TWO = FeatureSpec(numeric=("tenure", "MonthlyCharges"), id_cols=(ID,))
+_TRAIN_TWO = f"""SELECT "customerID" AS id, label AS y_true, CAST(tenure AS DOUBLE) AS t, "MonthlyCharges" AS c
+FROM ({q.SPLIT_ACCOUNTS}) WHERE split = 'train'"""
+_SCALED_TWO = f"""SELECT id, y_true, (t - avg(t) OVER ()) / stddev_pop(t) OVER () AS x1, (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS x2
+FROM ({_TRAIN_TWO})"""
+
+
+@query("M10_streaming_scores", newton(frame=_SCALED_TWO) + f""",
+s AS (SELECT avg(t) AS mt, stddev_pop(t) AS st, avg(c) AS mc, stddev_pop(c) AS sc FROM ({_TRAIN_TWO})),
+r AS (SELECT *, 1 / (1 + exp(-(b + b1 * (tenure - mt) / st + b2 * ("MonthlyCharges" - mc) / sc))) AS p,
+        concat_ws(',', CASE WHEN tenure < 0 OR tenure > 100 THEN 'tenure' END, {_REASONS}) AS reasons
+      FROM ({q.ACCOUNTS}), beta, s)
+SELECT "customerID", CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS route, reasons,
+       CASE WHEN reasons = '' THEN round(round(p, 4), 2) END AS churn_probability, CASE WHEN reasons = '' THEN p >= 0.5 END AS churn_prediction,
+       CASE WHEN reasons = '' THEN {q.RISK.format(p='p')} END AS risk_level FROM r
+UNION ALL SELECT NULL, 'rejected', 'unreadable', NULL, NULL, NULL FROM r WHERE CAST(substr("customerID", 2) AS BIGINT) % 50 = 1""")
 def streaming_scores(spark, sf):
-    """Records land as files, a stream validates and scores them into one folder per route."""
-    model, _ = _baseline(spark, sf)
+    """Records land as files, some cut off in the middle; a stream validates and scores them into one folder per route."""
+    rows = split_accounts(spark, sf)
+    model = md.fit_pipeline(rows.where("split = 'train'"), _TWO).model
     records = fx.accounts(spark, sf).drop("Churn")
     landing, out = new_folder(spark, "records"), new_folder(spark, "scores")
     records.write.json(landing)
+    text = F.to_json(F.struct(*records.columns))
+    half = records.where(F.substring("customerID", 2, 8).cast("long") % 50 == 1).select(
+        F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")))
+    half.write.mode("append").text(landing)
     stream = scoring.read_record_stream(spark, landing, records.schema)
     scoring.write_scores(stream, model, out, new_folder(spark, "stream"), [ID]).awaitTermination()
-    return spark.read.parquet(out).select(
-        ID, "route", F.array_join("reasons", ",").alias("reasons"),
-        F.col("churn_probability").isNotNull().alias("has_score"),
-    )
+    found = spark.read.parquet(out).select(
+        ID, "route", F.array_join("reasons", ",").alias("reasons"), "churn_probability", "churn_prediction", "risk_level")
+    return rounded(found, 2, "churn_probability")

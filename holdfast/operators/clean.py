@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions import scalars as fn
+from holdfast.session import written
 from holdfast.spec import BINARY, CATEGORICAL, GROUPED, FeatureSpec
 
 
@@ -42,12 +43,26 @@ def blank_charges_to_zero(
     must not sum to more than zero (``strict``: no single row may be above zero). The check is
     one aggregate over two columns and runs here, before anything reads the result.
     """
-    number = F.nanvl(_number(df, col), F.lit(None))
-    suspect = F.when(number.isNull(), F.col(tenure))
-    total, worst = df.agg(F.sum(suspect), F.max(suspect)).first()
+    _refuse_blank(col, tenure, *df.agg(*_blank_tenure(df, col, tenure)).first(), strict)
+    return _zeroed(df, col)
+
+
+def _charges(df: DataFrame, col: str) -> Column:
+    return F.nanvl(_number(df, col), F.lit(None))
+
+
+def _blank_tenure(df: DataFrame, col: str, tenure: str) -> list[Column]:
+    suspect = F.when(_charges(df, col).isNull(), F.col(tenure))
+    return [F.sum(suspect).alias("blank_total"), F.max(suspect).alias("blank_worst")]
+
+
+def _refuse_blank(col: str, tenure: str, total, worst, strict: bool = False) -> None:
     if ((worst if strict else total) or 0) > 0:
         raise ValueError(f"{col} is blank for rows with {tenure} > 0")
-    return df.withColumn(col, F.coalesce(number, F.lit(0.0)))
+
+
+def _zeroed(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, F.coalesce(_charges(df, col), F.lit(0.0)))
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -60,16 +75,24 @@ def encode_target_strict(
     show: int = 20,
 ) -> DataFrame:
     """Target text as 1/0 in ``label``; raises when any other value occurs, naming ``show`` and counting the rest."""
+    code = _target_code(df, target, positive, negative)
+    _refuse_targets(df, target, code, show)
+    return df.withColumn(label, code).drop(*([target] if target != label else []))
+
+
+def _target_code(df: DataFrame, target: str, positive: str, negative: str) -> Column:
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
+    return F.when(F.col(target) == positive, 1).when(F.col(target) == negative, 0)
+
+
+def _refuse_targets(df: DataFrame, target: str, code: Column, show: int = 20) -> None:
     value = F.col(target)
-    code = F.when(value == positive, 1).when(value == negative, 0)
     others = df.where(code.isNull()).select(value).distinct()
     bad = others.orderBy(value).limit(show).collect()
     if bad:
         more = others.count() - len(bad)
         raise ValueError(f"unexpected values in {target}: {[r[0] for r in bad]}" + (f" and {more} more" if more else ""))
-    return df.withColumn(label, code).drop(*([target] if target != label else []))
 
 
 def encode_target_lenient(
@@ -145,3 +168,29 @@ def prepare(df: DataFrame, spec: FeatureSpec, mode: str = "impute", label: str =
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return df.select(*spec.id_cols, *spec.features, label)
+
+
+def prepare_written(df: DataFrame, spec: FeatureSpec, mode: str = "impute", label: str = "label") -> DataFrame:
+    """What ``prepare`` gives, as a table written in one pass over ``df``.
+
+    The checks read what was written, one narrow column of it; if one fails, the same error is raised and the table is not
+    returned. (An ``Observation`` would save even that, but once a session has made one, models that were trained in it can no
+    longer be sent to tasks.)
+    """
+    suspect = F.lit(None).cast("double")
+    if mode == "impute":
+        df = text_to_number(strip_strings(df), "TotalCharges")
+        code = _target_code(df, spec.target, spec.positive, spec.negative)
+        ready = df.withColumn(label, code)
+    elif mode == "zero":
+        suspect = F.when(_charges(df, "TotalCharges").isNull(), F.col("tenure"))
+        ready = _zeroed(df.withColumn("__suspect", suspect), "TotalCharges")
+        ready, suspect = encode_target_lenient(ready, spec.target, spec.positive, label), F.col("__suspect")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    out = written(ready.select(*spec.id_cols, *spec.features, label, suspect.alias("__suspect")), "prepared")
+    unknown, total, worst = out.agg(F.count_if(F.col(label).isNull()), F.sum("__suspect"), F.max("__suspect")).first()
+    if unknown:
+        _refuse_targets(df, spec.target, code)  # read again only to name the values
+    _refuse_blank("TotalCharges", "tenure", total, worst)
+    return out.drop("__suspect")

@@ -50,6 +50,50 @@ def read_csv(
     return raw.select(*[_typed(types.get(c, T.StructField(c, T.StringType()))) for c in raw.columns])
 
 
+#: Reasons of a quarantined row.
+TOO_FEW, TOO_MANY = "too few fields", "too many fields"
+QUARANTINE = ("reject_reason", "reject_line", "source_file")
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = ACCOUNT_SCHEMA,
+) -> DataFrame:
+    """``read_csv`` that keeps rows whose number of fields is not that of the header, in the same pass.
+
+    Such a row has a ``reject_reason``, its text in ``reject_line`` and null in all columns of the data; every row names its
+    ``source_file``. ``good_rows`` and ``reject_counts`` take it apart; written by ``reject_reason``, it is read once for both.
+    """
+    names, line = read_csv(spark, path, schema).columns, "__line"
+    # rows are cut into all their fields: the number of those that a query needs would tell nothing
+    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in (*names, line)])).option(
+        "header", True).option("escape", '"').option("enforceSchema", False).option("columnPruning", False).option(
+        "columnNameOfCorruptRecord", line).csv(path)
+    types = {f.name: f for f in schema.fields}
+    bare = F.regexp_replace(line, '"([^"]|"")*"', "")  # commas inside quotes part no fields
+    many = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(names)
+    # Spark refuses to read the text of malformed rows alone, so another column takes part; and a test for null would be pushed
+    # into the parser, which settles it before it knows that a row is malformed
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    bad = (size(line) > 0) & (size(fn.quoted(names[0])) >= 0)
+    # a rejected row has its fields in the wrong places: none is typed
+    kept = raw.withColumns({n: F.when(~bad, F.col(fn.quoted(n))) for n in names})
+    return kept.select(
+        *[_typed(types.get(n, T.StructField(n, T.StringType()))) for n in names],
+        F.when(bad, F.when(many, TOO_MANY).otherwise(TOO_FEW)).alias(QUARANTINE[0]),
+        F.col(line).alias(QUARANTINE[1]), F.col("_metadata.file_name").alias(QUARANTINE[2]),
+    )
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    return checked.where("reject_reason is null").drop(*QUARANTINE)
+
+
+def reject_counts(checked: DataFrame) -> DataFrame:
+    """(source_file, reject_reason, n): a row per file and reason."""
+    bad = checked.where("reject_reason is not null")
+    return bad.groupBy("source_file", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet snapshot; NaN in a floating column becomes null."""
     try:

@@ -15,14 +15,22 @@ from holdfast.functions import scalars as fn
 from holdfast.operators.clean import strip_strings, text_to_number, validate_records
 
 SCORED, REJECTED = "scored", "rejected"
+#: Column with the text of a record that could not be read, and its reason.
+RECORD, UNREADABLE = "unreadable_record", "unreadable"
 
 
 def score_records(df: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
     """Every record with its route: scored ones with the response, rejected ones with reasons.
 
-    Row by row and without state, so it runs on a stream as it does on a table.
+    A record that could not be read (``unreadable_record`` holds its text) is rejected for that alone. Row by row and without
+    state, so it runs on a stream as it does on a table.
     """
-    checked = strip_strings(validate_records(df))
+    checked = validate_records(df)
+    if RECORD in df.columns:
+        bad = F.col(RECORD).isNotNull()
+        checked = checked.withColumn("reasons", F.when(bad, F.array(F.lit(UNREADABLE))).otherwise(F.col("reasons")))
+        keep = [*keep, RECORD]
+    checked = strip_strings(checked, [c for c, kind in checked.dtypes if kind == "string" and c != RECORD])
     scored = model.transform(text_to_number(checked, "TotalCharges"))
     valid = F.size("reasons") == 0
     p = F.when(valid, F.get(vector_to_array("probability"), F.lit(1)))
@@ -38,8 +46,11 @@ def read_record_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Records from files as they land in a folder."""
-    reader = spark.readStream.schema(schema).format(fmt)
+    """Records from files as they land in a folder. JSON that is malformed or has a value of another type keeps its text in
+    ``unreadable_record`` and is null elsewhere or in part."""
+    if fmt == "json":
+        schema = T.StructType([*schema.fields, T.StructField(RECORD, T.StringType())])
+    reader = spark.readStream.schema(schema).format(fmt).option("columnNameOfCorruptRecord", RECORD)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)

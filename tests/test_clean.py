@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from conftest import SF, rows
+from conftest import SF, plan, rows
 from holdfast.operators import clean, profile
 from holdfast.sources import accounts as src
 from holdfast.spec import BASELINE, GROUPED
@@ -153,3 +155,64 @@ def test_profiles(spark):
     assert [tuple(r)[:2] for r in profile.value_counts(df, "t").collect()] == [("a", 2), (" ", 1)]
     assert rows(profile.first_rows(df, ["id"], 2), "id") == [(1,), (2,)]
     assert profile.column_profile(df).orderBy("position").first()["data_type"] == "int"
+
+
+def scans(df):
+    return plan(df).count("Scan ")
+
+
+def test_malformed_csv_rows_are_kept_apart(spark, folder):
+    path = folder("csv")
+    os.makedirs(path)
+    head = "customerID,tenure,Churn,TotalCharges\n"
+    with open(f"{path}/a.csv", "w") as f:
+        f.write(head + '1,5,Yes,"1,5"\n2,x\n3,6,No,7,more\n\n4,"un\n5,7,,\n')
+    with open(f"{path}/b.csv", "w") as f:
+        f.write(head + '6,8,"say ""x""", \n7,,,,,,,\n8\n')
+    checked = src.read_csv_checked(spark, path)
+    good = rows(src.good_rows(checked), "customerID", "tenure", "Churn")
+    assert good == [("1", 5, "Yes"), ("5", 7, None), ("6", 8, 'say "x"')]
+    assert src.good_rows(checked).dtypes == src.read_csv(spark, path).dtypes
+    assert rows(src.reject_counts(checked)) == [
+        ("a.csv", "too few fields", 2), ("a.csv", "too many fields", 1), ("b.csv", "too few fields", 1), ("b.csv", "too many fields", 1)]
+    lines = rows(checked.where("reject_reason is not null"), "reject_line", "customerID", "tenure")
+    assert lines == sorted([(x, None, None) for x in ("2,x", "3,6,No,7,more", '4,"un', "7,,,,,,,", "8")], key=repr)
+    checked.write.partitionBy("reject_reason").parquet(folder("kept"))  # one pass for both
+    assert spark.read.parquet(folder("kept")).count() == 8
+
+
+def test_checks_need_no_scan_of_their_own(spark):
+    raw = fx.accounts(spark, SF)
+    for spec, mode in ((BASELINE, "impute"), (GROUPED, "zero")):
+        out = clean.prepare_written(raw, spec, mode)
+        want = clean.prepare(raw, spec, mode)
+        assert out.columns == want.columns and rows(out) == rows(want)
+        assert scans(out) == 1 and "prepared" in plan(out)
+
+
+def test_a_source_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = fx.accounts(spark, SF)
+    n = raw.count()
+    for spec, mode in ((BASELINE, "impute"), (GROUPED, "zero")):
+        before = seen.value
+        clean.prepare_written(raw.mapInArrow(count, raw.schema), spec, mode)
+        assert seen.value - before == n
+
+
+@pytest.mark.parametrize("column,value,spec,mode", [
+    ("Churn", "Maybe", BASELINE, "impute"), ("Churn", None, BASELINE, "impute"), ("TotalCharges", " ", GROUPED, "zero")])
+def test_written_tables_raise_as_others_do(spark, column, value, spec, mode):
+    raw = fx.accounts(spark, SF).withColumn(column, F.when(F.col("tenure") > 20, F.lit(value)).otherwise(F.col(column)))
+    errors = []
+    for prepare in (clean.prepare, clean.prepare_written):
+        with pytest.raises(ValueError) as error:
+            prepare(raw, spec, mode)
+        errors.append(str(error.value))
+    assert errors[0] == errors[1]

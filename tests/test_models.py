@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import numpy as np
 import pytest
@@ -216,6 +217,58 @@ def test_stream_scores_like_a_table(spark, baseline, folder):
     assert drain().count() == records.count() + 5
 
 
+def landed(spark, records, path):
+    """Records in three files, and a file of what cannot be read."""
+    records.repartition(3).write.json(path)
+    bad = ['{"customerID": "cut', "no json", '{"customerID": "T1", "tenure": "many"}', "[1, 2", ""]
+    spark.createDataFrame([(x,) for x in bad], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def test_unreadable_records_are_rejected_with_their_text(spark, baseline, folder):
+    run, _ = baseline
+    records = fx.accounts(spark, SF).drop("Churn").limit(30)
+    landed(spark, records, folder("in"))
+    stream = scoring.read_record_stream(spark, folder("in"), records.schema)
+    scoring.write_scores(stream, run.pipeline.model, folder("out"), folder("check"), ["customerID"]).awaitTermination()
+    out = spark.read.parquet(folder("out"))
+    bad = out.where("array_contains(reasons, 'unreadable')")
+    assert sorted(r["unreadable_record"] for r in bad.collect()) == sorted(
+        ['{"customerID": "cut', "no json", '{"customerID": "T1", "tenure": "many"}', "[1, 2"])
+    assert {(r["route"], r["churn_probability"], len(r["reasons"])) for r in bad.collect()} == {("rejected", None, 1)}
+    assert out.count() == 34
+
+
+@pytest.mark.parametrize("lost", ["commit", "commit and sink"])
+def test_a_batch_cut_off_is_made_up_for(spark, baseline, folder, lost):
+    """Stopped between batches, then started again from a checkpoint whose last batch had not been settled."""
+    run, _ = baseline
+    records = fx.accounts(spark, SF).drop("Churn")
+    landed(spark, records, folder("in"))
+
+    def start(**more):
+        stream = scoring.read_record_stream(spark, folder("in"), records.schema, files_per_batch=1)
+        return scoring.write_scores(stream, run.pipeline.model, folder("out"), folder("check"), ["customerID"], **more)
+
+    query = start(interval="1 second")
+    deadline = time.time() + 120
+    while not os.path.exists(f"{folder('check')}/commits/1") and time.time() < deadline:
+        time.sleep(0.1)
+    query.stop()
+    done = max(int(x) for x in os.listdir(f"{folder('check')}/commits") if x.isdigit())
+    last = max(int(x) for x in os.listdir(f"{folder('check')}/offsets") if x.isdigit())
+    for batch in range(done, last + 1):  # what a driver that dies in the middle of this batch leaves
+        gone = [f"{folder('check')}/commits/{batch}"] + [f"{folder('out')}/_spark_metadata/{batch}"] * (lost != "commit")
+        for path in gone:
+            for name in (path, f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc"):
+                if os.path.exists(name):
+                    os.remove(name)
+    start().awaitTermination()
+    out = spark.read.parquet(folder("out"))
+    assert sorted(r[0] for r in out.where("unreadable_record is null").select("customerID").collect()) == sorted(
+        r[0] for r in records.select("customerID").collect())
+    assert out.where("unreadable_record is not null").count() == 4
+
+
 def test_candidate_run(spark, folder):
     params = {"random_forest": {"trees": 5, "depth": 3}, "gradient_boosting": {"rounds": 3}}
     run = train_candidates(fx.accounts(spark, "/root/testdata/sf0.01"), folder("out"), params=params)
