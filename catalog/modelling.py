@@ -36,11 +36,12 @@ def class_weights(spark, sf):
     return md.class_weights(fx.scored_orders(spark, sf), "y_true")
 
 
-def newton(c: float = 1.0, balanced: bool = False, steps: int = 10, frame: str = q.MODEL_FRAME) -> str:
-    """CTEs b0 … b{steps}: Newton steps of the L2-penalised logistic objective on (x1, x2) of ``frame``."""
+def newton(c: float = 1.0, balanced: bool = False, steps: int = 10, frame: str = q.MODEL_FRAME, counts: str = q.SCORED) -> str:
+    """CTEs b0 … b{steps}: Newton steps of the L2-penalised logistic objective on (x1, x2) of ``frame``; ``counts`` has its rows
+    per class."""
     weight = ("CASE WHEN y_true = 1 THEN n / (2e0 * np) ELSE n / (2e0 * (n - np)) END" if balanced else "1e0")
     ctes = [f"""m AS MATERIALIZED (SELECT x1, x2, CAST(y_true AS DOUBLE) AS y, {weight} AS w
-FROM ({frame}), (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y_true) AS DOUBLE) AS np FROM ({q.SCORED})))""",
+FROM ({frame}), (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y_true) AS DOUBLE) AS np FROM ({counts})))""",
             "b0 AS (SELECT 0e0 AS b, 0e0 AS b1, 0e0 AS b2)"]
     ridge = f"{1.0 / c!r}::DOUBLE"
     for i in range(steps):

@@ -21,9 +21,9 @@ from holdfast.spec import BASELINE, FeatureSpec
 
 def review(
     model: PipelineModel, raw: DataFrame, out: str | None = None, spec: FeatureSpec = BASELINE,
-    threshold: float = 0.5, seed: int = 42,
+    threshold: float = 0.5, seed: int = 42, profiles: bool = True,
 ) -> dict[str, DataFrame]:
-    """Report tables by name; saved below ``out`` if given."""
+    """Report tables by name; saved below ``out`` if given. ``profiles`` adds the error profiles of the account columns."""
     rows = prepare(raw, spec, "impute")
     rows = fit_splits(rows, "label", spec.id_cols[0], 0.70, 0.15, 0.15, seed).assign(rows)
     test = rows.where("split = 'test'").withColumn("y_true", F.col("label"))
@@ -35,9 +35,10 @@ def review(
         "calibration": reports.calibration_report(scored),
         "brier": m.brier_score(scored),
         "errors": reports.error_report(scored),
-        "false_negatives": reports.profile_report(m.false_negative_profile(scored)),
-        "false_positives": reports.profile_report(m.false_positive_profile(scored)),
     }
+    if profiles:
+        tables["false_negatives"] = reports.profile_report(m.false_negative_profile(scored))
+        tables["false_positives"] = reports.profile_report(m.false_positive_profile(scored))
     if out:
         save_reports(tables, out)
     return tables

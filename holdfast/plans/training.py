@@ -12,7 +12,7 @@ from holdfast.operators import models as md
 from holdfast.operators.clean import prepare
 from holdfast.operators.preprocess import fit_preprocessor, schema_table
 from holdfast.operators.split import (
-    SplitCuts, fit_splits, require_no_leakage, split_summary,
+    SplitCuts, SplitTable, fit_splits, require_no_leakage, split_summary,
 )
 from holdfast.sources import artifacts as art
 from holdfast.spec import BASELINE, GROUPED, FeatureSpec
@@ -21,7 +21,7 @@ from holdfast.spec import BASELINE, GROUPED, FeatureSpec
 @dataclass(frozen=True)
 class BaselineRun:
     pipeline: md.FittedPipeline
-    cuts: SplitCuts
+    cuts: SplitCuts | SplitTable
     evaluation: DataFrame
     gaps: DataFrame
 
@@ -40,10 +40,13 @@ def train_baseline(
     pipeline = md.fit_pipeline(rows.where("split = 'train'"), spec, balanced=True)
     # Scoring costs more than the two columns it leaves; metrics read them several times.
     keep = ["split", F.col("label").alias("y_true")]
-    scored = md.score(pipeline.model, rows.where("split <> 'train'"), keep).persist()
+    scored = pipeline.score(rows.where("split <> 'train'"), keep).persist()
     evaluation = m.evaluation_record(scored, y_pred="y_pred", by=("split",))
     if out:
-        art.save_model(pipeline.model, f"{out}/model")
+        if pipeline.preprocessor.large:
+            art.save_pipeline(pipeline, f"{out}/model")
+        else:
+            art.save_model(pipeline.model, f"{out}/model")
         config = {"solver": "lbfgs", "max_iter": 1000, "class_weight": "balanced", "C": 1.0, "seed": seed}
         art.save_metrics(art.metrics_record(evaluation, "LogisticRegression", config), f"{out}/metrics")
         art.save_schema(schema_table(pipeline.preprocessor, rows), f"{out}/schema")
