@@ -6,7 +6,7 @@ a beta-binomial prior is centred on the level above; its strength follows from h
 
 Null urls and urls without ``://`` have an empty host and path and are judged by the prior of all pages; null or
 unlabelled outcomes count nothing; an id labelled twice counts twice; repeated rows are judged alike; without any label
-every prior is 1/2; an empty table gives no rows. Only named columns are read, so other columns cannot clash.
+every prior is 1/2; an empty table gives no rows; urls are read whole, however long. Only named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.common import stored
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -58,9 +60,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host"))
     labels = outcomes.where(F.col("good").isin(0, 1)).groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    by_host = hosts.join(labels, "page_id", "left").groupBy("host").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"),
-    ).withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    summed = hosts.join(labels, "page_id", "left").groupBy("host").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    # seven steps read the hosts: they are worked out once
+    by_host = stored(summed, "hosts").withColumns(
+        {"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dg"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dg").alias("sg"))
     overall = by_suffix.agg(((F.coalesce(F.sum("sg"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("m"))
