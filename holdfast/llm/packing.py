@@ -8,13 +8,14 @@ nothing is padded at all.
 
 Null and empty texts consist of the end token alone; ties of length follow the order of rows, ties of cost the order of
 sequences; repeated rows are packed as documents of their own; a null ``doc_id`` stays null; an empty table gives
-no rows. Only ``doc_id`` and ``text`` are read.
+no rows. Texts are encoded whole; a very long one fills whole sequences of its own. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -43,6 +44,61 @@ def capacities(tokens: int, length: int) -> list[int]:
     return [length] * (tokens // length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+class Sequences:
+    """Open sequences by room and cost: the cheapest with at least a given room, the first of equal ones.
+
+    Sequences of one room share a heap, and a tree over rooms holds each heap's least cost, so that a look-up costs the depth of
+    the tree, however many sequences are open.
+    """
+
+    def __init__(self, room: list[int], length: int) -> None:
+        self.room = room
+        self.used, self.cost = [0] * len(room), [0.0] * len(room)
+        self.leaves = 1 << length.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        for s, r in enumerate(room):
+            self.heaps[r].append((0.0, s))  # in order already
+        self.tree = [NONE] * (2 * self.leaves)
+        for r, heap in enumerate(self.heaps):
+            if heap:
+                self.tree[self.leaves + r] = heap[0]
+        for i in range(self.leaves - 1, 0, -1):
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def _settle(self, r: int) -> None:
+        heap, tree = self.heaps[r], self.tree
+        i = self.leaves + r
+        tree[i] = heap[0] if heap and r else NONE
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def cheapest(self, least: int) -> int | None:
+        """The cheapest sequence with room for ``least`` tokens."""
+        best, low, high = NONE, self.leaves + least, 2 * self.leaves
+        while low < high:
+            if low & 1:
+                best = min(best, self.tree[low])
+                low += 1
+            low, high = low >> 1, high >> 1
+        return None if best is NONE else best[1]
+
+    def put(self, s: int, n: int) -> int:
+        """Place a piece of ``n`` tokens; its offset."""
+        r, offset = self.room[s], self.used[s]
+        heappop(self.heaps[r])  # a sequence that was looked up is the first of its room
+        self._settle(r)
+        self.room[s], self.used[s] = r - n, offset + n
+        self.cost[s] += n + ATTENTION * n * n
+        heappush(self.heaps[r - n], (self.cost[s], s))
+        self._settle(r - n)
+        return offset
+
+
+#: No sequence: dearer than any.
+NONE = (float("inf"), -1)
+
+
 def pack(sizes: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of documents of the given sizes."""
     pieces, sequence = [], 0
@@ -51,19 +107,15 @@ def pack(sizes: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]
         for start in range(0, int(sizes[d]) - length + 1, length):
             pieces.append((d, start, length, sequence, 0))
             sequence += 1
-    room = np.array(capacities(int(rest.sum()), length), np.int64)
-    used, cost = np.zeros(len(room), np.int64), np.zeros(len(room))
+    open_ = Sequences(capacities(int(rest.sum()), length), length)
     for d in np.argsort(-rest, kind="stable").tolist():
         left, start = int(rest[d]), int(sizes[d] - rest[d])
         while left:
-            fit = room >= left
-            open_ = fit if fit.any() else room > 0
-            s = int(np.where(open_, cost, np.inf).argmin())
-            n = min(left, int(room[s]))
-            pieces.append((d, start, n, sequence + s, int(used[s])))
-            room[s] -= n
-            used[s] += n
-            cost[s] += n + ATTENTION * n * n
+            s = open_.cheapest(left)
+            if s is None:
+                s = open_.cheapest(1)
+            n = min(left, open_.room[s])
+            pieces.append((d, start, n, sequence + s, open_.put(s, n)))
             left, start = left - n, start + n
     return pieces
 
