@@ -9,7 +9,7 @@ there are. Neutral mentions then add nothing to a score.
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null texts count as empty and score as the
 intercept does; without labels the score is 1/2, with labels of one kind their smoothed share; repeated rows and ties
 score alike (0.5 counts as 1); a null ``doc_id`` is never trained on and its ``held_out`` is null; an empty table gives
-no rows. Only ``doc_id`` and ``text`` are read.
+no rows. Texts are scored whole, however long. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -403,7 +403,10 @@ def score_documents(docs: DataFrame, model: WordModel, folds: int = FOLDS, held_
 
 
 def drop_toxic(docs: DataFrame, model: WordModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below 1/2."""
+    """The rows of ``docs``, all columns, whose score is below 1/2; a model that has learned nothing, for want of labels of both
+    kinds, rejects none."""
+    if not len(model.words):
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
