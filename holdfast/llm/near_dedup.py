@@ -17,6 +17,7 @@ Words are runs of characters other than white space, A-Z lower-cased. With fewer
 the only shingle. Null and empty texts and texts without words have the empty set and are linked with nothing. Links
 need ``100 * intersection >= percent * union``, ties included. Repeated rows are copies of each other; rows with
 a null ``doc_id`` take part, and a component of null ids alone has a null ``component_id``. An empty table gives no rows.
+All shingles of a text count, however long it is.
 Only ``doc_id`` and ``text`` are read.
 """
 

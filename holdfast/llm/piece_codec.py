@@ -7,7 +7,7 @@ last piece before it; exactly one is, which makes the result the library's own.
 
 Null and empty texts have no pieces; characters outside the vocabulary become byte pieces; a text that holds the model's
 space sign decodes to one with a space there; repeated rows are encoded alike; a null ``doc_id`` stays null; an empty
-table gives no rows. Only ``doc_id`` and ``text`` are read.
+table gives no rows. Texts are encoded whole; a very long one is cut at word ends into blocks of bounded size. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

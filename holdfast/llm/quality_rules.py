@@ -4,7 +4,7 @@ rule is right, and the posterior probability of good quality decides. Columns an
 Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 Null and empty texts have no words, fail the base check, and every rule abstains on them; a null ``doc_id`` stays
 null; repeated rows are judged row by row and alike; ties of the posterior with the threshold count as kept; an
-empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
+empty table gives no rows. Texts are counted whole, however long. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

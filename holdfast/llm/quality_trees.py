@@ -5,7 +5,8 @@ kept as complete binary trees in flat arrays, and walked for all rows of a batch
 
 Null texts count as empty and get the score of an empty text; without usable labels the score is 1/2, with labels of one
 kind their smoothed share; repeated rows and ties score alike (0.5 counts as 1); a null ``doc_id`` is never trained on and
-its ``held_out`` is null; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+its ``held_out`` is null; an empty table gives no rows. Statistics are those of whole texts, however
+long. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ at the same place. Only suffixes at anchors are sorted, about one in 180 bytes.
 
 Positions are judged on the input: what one removal leaves takes no part. Null and empty texts and texts shorter than
 ``least`` lose nothing; repeated rows are copies of each other; overlaps count; a null ``doc_id`` is a document like any
-other; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+other; an empty table gives no rows. Texts are taken whole; a very long one is a row of its task and is cut into spans. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ Each unit's counts are computed once per worker and looked up after that, so the
 Where a budget runs out, the counts at every prefix of that one unit tell how much of it still fits.
 
 Null and empty texts have no tokens; ``<|endoftext|>`` inside a text is one token, as in the library; repeated rows are
-counted alike; a null ``doc_id`` stays null; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+counted alike; a null ``doc_id`` stays null; an empty table gives no rows. Texts are counted
+whole, unit by unit, however long. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
