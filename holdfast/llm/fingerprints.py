@@ -8,7 +8,7 @@ sum of the greater), so the share of equal samples estimates it.
 Words are runs of bytes other than white space. Null and empty texts, and texts without words, have the empty fingerprint:
 likeness 1 to one another, 0 to any other. Rows are ordered by ``doc_id`` (nulls first), then by text; the next document of
 the last row is the first; a table of one row is its own next. Repeated rows and equal texts have equal fingerprints. An empty
-table gives no rows. Only ``doc_id`` and ``text`` are read.
+table gives no rows. Texts are read whole; a very long one is stepped through at word ends. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import WHITE, blocks, mixed, stored, texts, utf8, word_classes, word_hashes
+from holdfast.session import written
 
 SAMPLES = 64
 STEP = 16
@@ -153,19 +154,32 @@ def _finish(ids: list, found: list[str], changed: list[str], prints: list[str],
     ]
 
 
-#: Characters of a text that tell rows of one id apart when they are dealt.
-HEAD = 500
+#: An id with more rows than this is dealt to several tasks, by the first ``HEAD`` characters of its texts.
+MANY_ROWS, HEAD = 100, 500
+#: Most ids of that kind that every task gets as a table; beyond, they are joined by shuffling.
+MANY_IDS = 1_000_000
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Rows in ranges of ``doc_id``, whose places are told by ids alone: only ids that have many rows add heads of texts."""
+    many = written(docs.groupBy(F.col("doc_id").alias("many_id")).count().where(F.col("count") > MANY_ROWS).select(
+        "many_id", F.lit(True).alias("many")), "many_rows")
+    n = many.count()
+    if not n:
+        return docs.repartitionByRange("doc_id")
+    found = docs.join(F.broadcast(many) if n <= MANY_IDS else many, F.col("doc_id").eqNullSafe(F.col("many_id")), "left")
+    head = F.when(F.col("many"), F.substring("text", 1, HEAD)).alias("head")
+    return found.select("doc_id", "text", head).repartitionByRange("doc_id", "head").drop("head")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` per row.
 
-    Rows are dealt by ranges of ``doc_id`` and, so that one id with many rows is split, of the first ``HEAD`` characters of
-    the text (ranges are found on the driver, which should hold no long texts), and sorted once; a task streams through its
-    range, so a row and the next one meet without a window over all rows. Only the first and the last row of each range wait for a second
+    Rows are dealt by ranges of ``doc_id``, and those of an id with very many rows by ranges of their texts' heads, and sorted
+    once; a task streams through its range, so a row and the next one meet without a window over all rows. Only the first and the last row of each range wait for a second
     step, which joins as many rows as there are ranges.
     """
-    ordered = texts(docs).repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
+    ordered = _dealt(texts(docs)).sortWithinPartitions("doc_id", "text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, part = Sampler(), TaskContext.get().partitionId()
