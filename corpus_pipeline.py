@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``. The classifiers are
 fitted on the rows that reach their stage and on the labels of ``sf_dir``, the near-duplicate stage works on shingles of five
-words. Nulls, empty and repeated rows are treated as the operators say; an empty table stays empty through all stages.
+words. Nulls, empty and repeated rows are treated as the operators say; an empty table stays empty through all stages. Every stage
+reads texts whole, however long.
 """
 
 from __future__ import annotations
