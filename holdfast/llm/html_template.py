@@ -56,13 +56,13 @@ ENDS_LIKE = {
 ASIDE_TAGS = frozenset("nav aside footer menu search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 ASIDE_NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu"
+    "ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu"
     " menubar topnav sidenav breadcrumb breadcrumbs pagination pager sidebar rail aside footer cookie cookies consent gdpr notice"
     " notices disclaimer popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related"
     " recommended recommendations trending widget widgets comment comments respond reply replies disqus discussion form search"
     " searchbox toolbar skip".split())
 #: Names that mark a region only outside of the main text: an article has a header of its own.
-OUTER_NAMES = frozenset("header masthead topbar banner alert copyright".split())
+OUTER_NAMES = frozenset("header masthead topbar alert copyright".split())
 _WHOLE = ("has", "with", "no", "without", "is", "not")
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
@@ -250,6 +250,8 @@ class Page:
                     in_article = 0
             elif mark == INNER or mark == OUTER and not main:
                 marked = max(marked, mark)
+            elif name == "form":  # outside, a form may hold the whole page
+                marked = INNER
             unseen = unseen or name in UNSEEN or not block and mark == INNER
             link = link or name == "a"
             if block:

@@ -270,6 +270,7 @@ HARD = [
     ("<div class=sidebar>s</div><aside>a</aside><div class='cookie-notice'>n</div><form><p>f</p></form><p>x</p>", "x"),
     ("<body class='has-sidebar'><div class='no-menu'>x</div>", "x"),
     ("<form><main><p>x</p></main></form>", "x"),
+    ("<form><article><p>x</p><form><p>Leave a word<input></form></article></form>", "x"),
     ("<script>if (a<b) '<p>no</p>'</script><style>p{}</style><p>x<script>", "x"),
     ("<p>x<!-- <p>no</p> -->y<!--", "xy"),
     ("<p>1 < 2 &amp &copy; &#65;&#x42; &unknown;</p>", "1 < 2 & © AB &unknown;"),
