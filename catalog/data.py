@@ -28,13 +28,13 @@ def csv_scan(spark, sf):
 
 
 def _broken(spark, sf):
-    """Two CSV files of accounts; in the second, rows lack their last field or have one more."""
+    """CSV files of accounts, one per task and half; in those of the second half, rows lack their last field or have one more."""
     rows, path = fx.accounts(spark, sf), new_folder(spark, "broken")
     k = F.substring("customerID", 2, 8).cast("long")
-    src.write_csv(rows.where(k % 2 == 0).coalesce(1), path)
+    src.write_csv(rows.where(k % 2 == 0), path)
     line = F.to_csv(F.struct(*rows.columns), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     line = F.when(k % 10 == 3, F.regexp_replace(line, ",[^,]*$", "")).when(k % 10 == 7, F.concat(line, F.lit(",more"))).otherwise(line)
-    odd = rows.where(k % 2 == 1).select(line.alias(",".join(rows.columns))).coalesce(1)
+    odd = rows.where(k % 2 == 1).select(line.alias(",".join(rows.columns)))
     odd.write.mode("append").option("header", True).option("sep", "\x01").option("quote", "").option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
@@ -49,7 +49,8 @@ def good_rows(spark, sf):
 SELECT CASE CAST(substr("customerID", 2) AS BIGINT) % 10 WHEN 3 THEN 'too few fields' ELSE 'too many fields' END AS reject_reason,
        count(*) AS n FROM ({q.ACCOUNTS}) WHERE CAST(substr("customerID", 2) AS BIGINT) % 10 IN (3, 7) GROUP BY 1""")
 def reject_counts(spark, sf):
-    return src.reject_counts(src.read_csv_checked(spark, _broken(spark, sf))).drop("source_file")
+    counts = src.reject_counts(src.read_csv_checked(spark, _broken(spark, sf)))
+    return counts.groupBy("reject_reason").agg(F.sum("n").alias("n"))
 
 
 @query("S02_nonempty_input", f'SELECT "customerID", "Churn" FROM ({q.ACCOUNTS})')
