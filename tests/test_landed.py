@@ -30,3 +30,12 @@ def test_broken_files_are_written_by_many_tasks(spark, made, monkeypatch):
     assert {(r["TotalCharges"], r["PaymentMethod"]) for r in got.where("customerID = 'C00000006'").collect()} == {("6.00", "MACHINERY")}
     assert got.where("TotalCharges = ' '").count() == 160
     assert len(glob.glob(f"{paths[0]}/part-*")) > 2
+
+
+def test_rejects_of_many_files_are_one_row_a_reason(spark, made, monkeypatch):
+    paths = []
+    kept = data.new_folder
+    monkeypatch.setattr(data, "new_folder", lambda *a: paths.append(kept(*a)) or paths[-1])
+    assert rows(data.reject_counts(spark, made), "reject_reason", "n") == [("too few fields", 40), ("too many fields", 40)]
+    lines = [set(spark.read.text(f).limit(1).collect()) for f in glob.glob(f"{paths[0]}/part-*")]
+    assert len(lines) > 2 and len(set.union(*lines)) == 1  # every file begins with the header
