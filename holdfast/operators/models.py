@@ -19,7 +19,7 @@ from holdfast.operators.metrics import compare_models
 from holdfast.operators.preprocess import FittedPreprocessor, fit_preprocessor
 from holdfast.operators.split import early_stopping_indicator
 from holdfast.operators.trees import first_trees
-from holdfast.session import ensure_checkpoint_dir
+from holdfast.session import ensure_checkpoint_dir, written
 from holdfast.spec import FeatureSpec
 
 WEIGHT = "class_weight"
@@ -180,7 +180,9 @@ def fit_pipeline(
     stages = [] if fitted.large else fitted.stages(train)
     ready = fitted.assemble(train) if fitted.large else PipelineModel(stages).transform(train)
     id_col = spec.id_cols[0]
-    ready = ready.select(id_col, label, "features").persist()
+    # read again, rows lie in as many parts as their bytes ask for, not in one per shuffle partition: every step of a fit sends
+    # the driver a result per part
+    ready = written(ready.select(id_col, label, "features"), "features").persist()
     try:
         model = CANDIDATES[name].fit(ready, id_col=id_col, label=label, **params)
     finally:
