@@ -14,6 +14,7 @@ from holdfast.operators.preprocess import fit_preprocessor, schema_table
 from holdfast.operators.split import (
     SplitCuts, SplitTable, fit_splits, require_no_leakage, split_summary,
 )
+from holdfast.session import written
 from holdfast.sources import artifacts as art
 from holdfast.spec import BASELINE, GROUPED, FeatureSpec
 
@@ -75,7 +76,8 @@ def train_candidates(
     rows = require_no_leakage(rows.persist(), id_col)
     train = rows.where("split = 'train'")
     prep = fit_preprocessor(train, spec).pipeline(train)
-    ready = prep.transform(rows).select(id_col, "split", "label", "features").persist()
+    # as in fit_pipeline: parts by bytes, since the models are fitted in very many steps
+    ready = written(prep.transform(rows).select(id_col, "split", "label", "features"), "features").persist()
     summary = split_summary(ready, "label")
     trained = md.train_candidates(ready.where("split = 'train'"), id_col, params=params)
     rows.unpersist()
