@@ -11,14 +11,33 @@ from holdfast.llm.common import stored
 def connected(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links (a, b)``; the label is the least node that links reach.
 
-    Labels spread along links and then jump to their label's label, so the number of rounds grows with the logarithm of the
-    longest chain. Every round is written, which cuts the lineage. A node with many links is a skewed join key on one side,
-    which adaptive execution splits, and its minimum is taken per task before it is shuffled.
+    Links are first drawn together: each node stands for its least neighbour, and few links between different ones are left of
+    a group whose members hang on the same centres. Labels spread along these and then jump to their label's label, so the
+    number of rounds grows with the logarithm of the longest chain. Every round is written, which cuts the lineage. A node
+    with many links is a skewed join key on one side, which adaptive execution splits, and its minimum is taken per task before
+    it is shuffled.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = stored(both, "links")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+    first = _least_neighbours(edges)
+    end = lambda name: first.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    fewer = stored(edges.join(end("a"), "a").join(end("b"), "b").where("la != lb").select(
+        F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+    if not fewer.take(1):
+        return first
+    target = _spread(fewer).select(F.col("node").alias("t"), F.col("label").alias("tl"))
+    return stored(first.join(target, F.col("label") == F.col("t"), "left").select(
+        "node", F.coalesce("tl", "label").alias("label")), "labels")
+
+
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    return stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")), "labels")
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """``connected`` of links that stand in both directions."""
+    labels = _least_neighbours(edges)
     while True:
         heard = edges.join(labels, F.col("b") == F.col("node")).select(
             F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
