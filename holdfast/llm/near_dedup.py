@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import WHITE, blocks, mixed, stored, texts, utf8, word_classes, word_hashes
-from holdfast.llm.links import connected
+from holdfast.llm.links import connected, joined, relabelled
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Buckets up to this size are compared pair by pair at once.
@@ -138,19 +138,24 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("cls", "sig").mapInArrow(split, "bucket long, cls binary")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("cls"))
-    return buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
-        *buckets.columns, F.coalesce("label", "cls").alias("label"))
+def _labelled(buckets: DataFrame, *labels: DataFrame) -> DataFrame:
+    """``buckets`` with the ``label`` that the tables ``node, label`` lead to from ``cls``, one after the other."""
+    found = buckets.withColumn("label", F.col("cls"))
+    for x in labels:
+        found = relabelled(found, "label", x)
+    return found
 
 
-def _split_buckets(members: DataFrame) -> DataFrame:
-    """Members (bucket, cls, label) of buckets that hold several components."""
+def _families(members: DataFrame) -> DataFrame | None:
+    """Members ``(family, cls, label)`` of the buckets (bucket, cls, label) that hold several components, by the largest of
+    these; None if there are none."""
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     # written, so that both sides of the join are plain exchanges, which adaptive execution splits where one is skewed
-    several = stored(members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(
-        "l0 != l1").select("bucket"), "near-several")
-    return members.join(several, "bucket")
+    several = stored(counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where(
+        "labels > 1").select("bucket", F.col("top.label").alias("family")), "near-several")
+    if not _any(several):
+        return None
+    return stored(members.join(several, "bucket").select("family", "cls", "label").distinct(), "near-family")
 
 
 def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
@@ -193,7 +198,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` among candidate pairs, from the full sets.
+    """Links ``(a, b)`` among candidate pairs, from the full sets; more than once for classes whose row is repeated.
 
     A hub's members come to its set; a hub with many members is dealt out with one copy of the set per ``PER_CENTRE``.
     """
@@ -224,18 +229,14 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.binary()) for c in zip(*links)], names=["a", "b"])
 
-    return placed.mapInArrow(compare, "a binary, b binary").distinct()
+    return placed.mapInArrow(compare, "a binary, b binary")
 
 
-def _within_families(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components of a family: its nodes outside the largest component against all its nodes.
+def _within_families(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components of a family, some both ways: its nodes outside the largest component against all its nodes.
 
     Both are dealt into blocks of ``PER_BLOCK``, and a task holds one block of the former while the latter stream by.
     """
-    counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    tops = stored(counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select(
-        "bucket", F.col("top.label").alias("family")), "near-tops")
-    members = stored(rest.join(tops, "bucket").select("family", "cls", "label").distinct(), "near-family")
     outside = F.count_if(F.col("label") != F.col("family"))
     largest = stored(members.groupBy("family").agg(
         F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"), F.ceil(outside / PER_BLOCK).cast("int").alias("parts"),
@@ -270,7 +271,7 @@ def _within_families(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], names=["a", "b"])
 
-    return texts_of.mapInArrow(compare, "a binary, b binary").distinct()
+    return texts_of.mapInArrow(compare, "a binary, b binary")
 
 
 def _against(held: list, passing: list, percent: int) -> list[tuple[bytes, bytes]]:
@@ -303,21 +304,21 @@ def _any(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
-def _all_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """``node, label`` of every class that is linked with another; None without links."""
+def _all_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> list[DataFrame]:
+    """Tables ``node, label`` that lead from a class to its component, one after the other."""
     bands = _bands(nodes)
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     buckets = stored(bands.join(shared, "bucket").select("bucket", "cls", "size"), "near-buckets")
-    every = _labelled(buckets, None)
+    every = _labelled(buckets)
     pairs = _all_pairs(every.where(F.col("size") <= SMALL), ["bucket"]).unionByName(_star(every.where(F.col("size") > SMALL)))
     likely = stored(_likely(pairs, nodes, percent), "near-pairs")
-    links = stored(_confirmed(likely, nodes, docs, width, percent), "near-links")
-    labels = connected(links) if _any(links) else None
-    rest = stored(_split_buckets(_labelled(buckets.where(F.col("size") > SMALL).select("bucket", "cls"), labels)), "near-rest")
-    if not _any(rest):
-        return labels
-    new = stored(_within_families(rest, nodes, docs, width, percent), "near-links")
-    return connected(links.unionByName(new)) if _any(new) else labels
+    labels = connected(_confirmed(likely, nodes, docs, width, percent))
+    families = _families(_labelled(buckets.where(F.col("size") > SMALL).select("bucket", "cls"), labels))
+    if families is None:
+        return [labels]
+    # these links join components, whose own links need not be read again
+    further = joined(_within_families(families, nodes, docs, width, percent), labels)
+    return [labels] if further is None else [labels, further]
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +328,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "h", "sig", "n_shingles")).alias("first"),
         F.min("doc_id").alias("least"),
     ).select("cls", "first.*", "least"), "near-nodes")
-    named = _labelled(nodes.select("cls", "unknown", "doc_id", "h", "least"), _all_labels(docs, nodes, width, percent))
+    named = _labelled(nodes.select("cls", "unknown", "doc_id", "h", "least"), *_all_labels(docs, nodes, width, percent))
     of_label = named.groupBy("label").agg(
         F.min("least").alias("component_id"), F.min(F.struct("unknown", "doc_id", "h")).alias("stays"))
     return sets, named.select("cls", "label").join(of_label, "label")

@@ -38,3 +38,17 @@ def test_components_and_how_often_links_are_read(spark, monkeypatch):
     alone = links.connected(spark.createDataFrame([(1, 2), (2, 1), (4, 4)], "a long, b long"))
     assert sorted(map(tuple, alone.collect())) == [(1, 1), (2, 1), (4, 4)]
     assert links.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_families_join_components_without_reading_all_links_again(spark, monkeypatch):
+    first = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7)], "node long, label long")
+    made, stored = [], links.stored
+    monkeypatch.setattr(links, "stored", lambda df, n: made.append(n) or stored(df, n))
+    further = links.joined(spark.createDataFrame([(4, 2), (2, 4), (4, 9), (8, 7)], "a long, b long"), first)
+    assert {r["node"]: r["label"] for r in further.collect()} == {1: 1, 3: 1, 9: 1}
+    ends = spark.createDataFrame([(x,) for x in (1, 2, 4, 8, 9, 10)], "label long")
+    for labels in (first, further):
+        ends = links.relabelled(ends, "label", labels)
+    assert sorted(r["label"] for r in ends.collect()) == [1, 1, 1, 1, 7, 10]
+    assert made[0] == "links" and made.count("links") == 1
+    assert links.joined(spark.createDataFrame([(1, 2), (8, 8)], "a long, b long"), first) is None
